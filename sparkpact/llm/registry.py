@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import packing, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op5_warc": warc.op5_warc,
+    "op8_token_counts": wordpiece.op8_token_counts,
+    "op9_packing": packing.op9_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
+}
