@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, toxicity, warc, wordpiece
+from . import decontam, packing, pii, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_decontamination": decontam.op3_decontamination,
     "op5_warc": warc.op5_warc,
+    "op7_pii": pii.op7_pii,
     "op8_token_counts": wordpiece.op8_token_counts,
     "op9_packing": packing.op9_packing,
 }
