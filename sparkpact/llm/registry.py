@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, pii, toxicity, warc, wordpiece
+from . import decontam, jaccard, packing, pii, substring, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_decontamination": decontam.op3_decontamination,
     "op5_warc": warc.op5_warc,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pii": pii.op7_pii,
     "op8_token_counts": wordpiece.op8_token_counts,
     "op9_packing": packing.op9_packing,
