@@ -32,37 +32,70 @@ END = 1
 #: Tokens that a task packs at a time.
 BLOCK = 1 << 22
 _PEEL = b".,;:!?"
+_PART = 4 << 20
 
 
 class WordIds(dict):
     """The ids of words, as little-endian uint32 bytes, by a tokenizer that never joins across white space.
 
     A final run of common punctuation after a letter is a token sequence of its own and letters are lower-cased by
-    the tokenizer, so words share entries beyond case and punctuation. Forgets all beyond `most` words.
+    the tokenizer, so words share work beyond case and punctuation. Unknown words of letters alone are encoded many at
+    a time: each is one piece of text to the tokenizer, and only its last token is a word's end. Of more than `most`
+    words, those not met again lately are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000, suffix: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
+        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def encode_letters(self, words: list[str], at_once: int = 500) -> list[bytes]:
+        """Ids of words that consist of letters."""
+        out = []
+        for e in self.tokenizer.encode_batch_fast(["\n".join(words[i : i + at_once]) for i in range(0, len(words), at_once)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            cuts, raw = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes the ids of all words known."""
+        if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
-        base = word.lower() if word.isascii() and b"<" not in word else word
-        bare = base.rstrip(_PEEL)
-        if base != word:
-            ids = self[base]
-        elif bare and bare != word and bare.decode()[-1].isalpha():
-            ids = self[bare] + self[word[len(bare) :]]
-        else:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
+        split, wanted = {}, {}
+        for w in words:
+            if w in self:
+                continue
+            if (ids := self.older.get(w)) is not None:
+                self[w] = ids
+                continue
+            base = w.lower() if w.isascii() and b"<" not in w else w
+            bare = base.rstrip(_PEEL)
+            if not bare or bare == base or not bare.decode()[-1].isalpha():
+                bare = base
+            split[w] = bare, base[len(bare) :]
+            wanted[bare] = wanted[base[len(bare) :]] = None
+        new = [w for w in wanted if w]
+        texts = [w.decode() for w in new]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        found = self.encode_letters([texts[k] for k in letters])
+        wanted = {}
+        if len(found) == len(letters):
+            wanted = {new[k]: ids for k, ids in zip(letters, found)}
+        rest = [k for k, w in enumerate(new) if w not in wanted]
+        wanted |= {new[k]: ids for k, ids in zip(rest, self.encode([texts[k] for k in rest]))}
+        wanted[b""] = b""
+        for w, (bare, rest) in split.items():
+            self[w] = wanted[bare] + wanted[rest]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -77,7 +110,16 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             words = _loaded[path] = WordIds(path)
         last, of = np.array([end], "<u4").tobytes(), words.__getitem__
         for b in batches:
-            ids = [b"".join([*map(of, (t or b"").split()), last]) for t in texts_of(b.column("text"))]
+            texts, ids, i = texts_of(b.column("text")), [], 0
+            while i < len(texts):  # the words of a few MB at a time
+                j, size = i, 0
+                while j < len(texts) and size < _PART:
+                    size += len(texts[j] or b"")
+                    j += 1
+                split = [(t or b"").split() for t in texts[i:j]]
+                words.learn(set().union(*split))
+                ids += [b"".join([*map(of, x), last]) for x in split]
+                i = j
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
