@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _to_least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         down = cut(large.where("a <> b").distinct()).select(F.col("b").alias("u"), F.col("a").alias("v"))

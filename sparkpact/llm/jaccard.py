@@ -7,7 +7,7 @@ leaves a match: each rare token counts one and is indexed alone; frequent tokens
 each counts one less than its tokens and is indexed by pairs within the class. Tokens that many documents share are
 thus indexed only in combination, and only by documents that have little else.
 
-Documents with equal sets are one node. Nodes that share a signature are first compared with two members of its group,
+Documents with equal sets are one node. Nodes that share a signature are first compared with the first member of its group,
 so a large group of near copies costs links in proportion to its size; then, in groups whose members aren't yet in one
 component, all pairs across components are compared. Every pair that shares a signature is thereby either compared
 or known to be connected.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, release, table, written
+from .shared import cut, expanded, release, squeezed, table, written
 from .words import U64, WordHasher, mix, rolled, texts_of, window_starts
 
 
@@ -192,7 +192,7 @@ def indexed(docs: DataFrame, frequent: np.ndarray, buckets: int, s: Settings) ->
 
 
 def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
-    """Of signatures that two nodes or more have: each member, and pairs of members with the group's first and middle one."""
+    """Of signatures that two nodes or more have: each member, and pairs of members with the group's first one."""
 
     def meet(key, t):
         h, node, size = [], [], []
@@ -211,9 +211,8 @@ def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
         begin = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U64(1)) != 0)
         counts = np.diff(np.append(begin, len(h)))
         more = np.repeat(counts > 1, counts)
-        lead, mid = np.repeat(begin, counts)[more], np.repeat(begin + counts // 2, counts)[more]
         own = np.flatnonzero(more)
-        x, y = np.concatenate([own, own]), np.concatenate([lead, mid])
+        x, y = own, np.repeat(begin, counts)[more]
         ok = (x != y) & (100 * np.minimum(size[x], size[y]) >= s.percent * np.maximum(size[x], size[y]))
         x, y = x[ok], y[ok]
         a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
@@ -234,12 +233,12 @@ def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, by their whole texts."""
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    x, y = texts.select(F.col("node").alias("a"), F.col("z").alias("x")), texts.select(F.col("node").alias("b"), F.col("z").alias("y"))
 
     def run(batches):
         hasher = WordHasher(fold=True)
         for b in batches:
-            sets = [token_sets(texts_of(b.column(c)), hasher, s) for c in ("x", "y")]
+            sets = [token_sets(expanded(b.column(c)), hasher, s) for c in ("x", "y")]
             keep = []
             for k in range(b.num_rows):
                 (u, p), (v, q) = sets
@@ -269,7 +268,7 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = shared.where(f"kind = {MEMBER}").select("h", F.col("a").alias("node"), F.col("na").alias("n"))
     first = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(members.select("node").distinct().join(first, "node"))
-    texts = written(wanted.join(docs, "doc_id").select("node", "text"), "texts")
+    texts = written(wanted.join(squeezed(docs), "doc_id").select("node", "z"), "texts")
     release(spark)
     star = shared.where(f"kind = {STAR}").select("a", "b").distinct()
     links = cut(verified(star, texts, s))

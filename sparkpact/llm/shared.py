@@ -70,3 +70,29 @@ def tasks(df: DataFrame) -> int:
 def held_out(doc_id: str = "doc_id"):
     """The fold that no classifier learns from: crc32 of the id as text leaves 1 when divided by 3. A null id is in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def squeezed(df: DataFrame) -> DataFrame:
+    """df with its column `text` as zstd-compressed UTF-8 in `z` (null: an empty text), for whole texts that must move."""
+    keep = [c for c in df.columns if c != "text"]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "z binary"])
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        from .words import texts_of
+
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([z.compress(t or b"") for t in texts_of(b.column("text"))], pa.binary())], [*keep, "z"])
+
+    return df.select(*keep, "text").mapInArrow(run, schema)
+
+
+def expanded(column) -> list[bytes]:
+    """The texts of a column that `squeezed` made."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) for x in column.to_pylist()]
