@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, packing, pii, substring, toxicity, warc, wordpiece
+from . import decontam, jaccard, neardup, packing, pii, substring, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_embedding_neardup": neardup.op4_embedding_neardup,
     "op5_warc": warc.op5_warc,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pii": pii.op7_pii,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op4_embedding_neardup": neardup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
 }
