@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, neardup, packing, pii, substring, toxicity, warc, wordpiece
+from . import decontam, jaccard, neardup, packing, pii, quality, substring, toxicity, warc, wordpiece
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_token_counts": wordpiece.op8_token_counts,
     "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL: dict[str, str] = {

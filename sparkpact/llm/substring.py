@@ -1,8 +1,9 @@
 """Substring dedup: a log-structured fingerprint index over windows of words.
 
 Documents come in batches of rising doc_id. Each batch's window hashes are dealt out by hash range and merge-joined with
-the index: sorted immutable runs of all windows of earlier batches. A hit counts only if a second, independent hash
-agrees. The batch's new windows then become a run of their own, and runs of like size are compacted into one.
+the index: sorted immutable runs of all windows of earlier batches, one file for each hash range. A hit counts only if
+a second, independent hash agrees (48 and 16 bits). The batch's new windows then become a run of their own, and runs of
+like size are compacted into one. Only the batch is shuffled: a range's task opens its own files of the runs.
 
 Windows travel packed: one row holds what one task's chunk has for one hash range, as arrays. A chunk sends each window
 once, however often it occurs there, so a passage in a third of all documents costs one entry a chunk.
@@ -11,15 +12,19 @@ once, however often it occurs there, so a passage in a third of all documents co
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, remove, shared_path, table
+from .shared import expanded, release, remove, shared_path, squeezed, table, written
 from .words import U64, WordHasher, rolled, texts_of, window_starts
 
 FIRST = np.iinfo(np.int64).min
@@ -29,8 +34,8 @@ FIRST = np.iinfo(np.int64).min
 class Settings:
     window: int = 20
     batches: int = 3
-    #: Words of a chunk, windows of a hash range, bytes of texts rewritten together: what a task holds at a time.
-    chunk_words: int = 1 << 21
+    #: Bytes of text of a chunk, of a hash range and of a group that is rewritten together: what a task holds at a time.
+    chunk_bytes: int = 4 << 20
     range_bytes: int = 12 << 20
     group_bytes: int = 4 << 20
 
@@ -43,7 +48,13 @@ def _packed(kind: int, bucket: int, doc: np.ndarray, start: np.ndarray, h=None,
     """Entries in order of (doc, start), as one row."""
     edge = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.empty(0, np.int64)
     sizes = np.diff(np.append(edge, len(doc))).astype(np.int32)
-    return (kind, bucket, doc[edge].tobytes(), sizes.tobytes(), start.astype(np.uint32).tobytes(), None if h is None else h.tobytes(), None if c is None else c.tobytes())
+    return (kind, bucket, doc[edge].tobytes(), sizes.tobytes(), _steps(start), None if h is None else h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), None if c is None else c.tobytes())
+
+
+def _steps(start: np.ndarray) -> bytes:
+    """Starts as differences that wrap, in as few bytes as the starts need."""
+    kind = np.uint16 if not len(start) or start.max() < 1 << 16 else np.uint32
+    return np.diff(start.astype(kind), prepend=kind(0)).tobytes()
 
 
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -55,16 +66,31 @@ def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """doc and start of all entries of packed rows."""
     docs = np.frombuffer(b"".join(t.column("docs").to_pylist()), np.int64)
     sizes = np.frombuffer(b"".join(t.column("sizes").to_pylist()), np.int32)
-    return np.repeat(docs, sizes), np.frombuffer(b"".join(t.column("starts").to_pylist()), np.uint32).astype(np.int64)
+    starts = []
+    for raw, own in zip(t.column("starts").to_pylist(), t.column("sizes").to_pylist()):
+        n = int(np.frombuffer(own, np.int32).sum())
+        kind = np.uint16 if len(raw) == 2 * n else np.uint32
+        starts.append(np.cumsum(np.frombuffer(raw, kind), dtype=kind).astype(np.int64))
+    return np.repeat(docs, sizes), np.concatenate(starts) if starts else np.empty(0, np.int64)
+
 
+def _hashes(t: pa.Table) -> np.ndarray:
+    raw = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(U64).ravel()
 
-def _coded(h: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes of their differences, the upper of which are mostly zero."""
-    return np.diff(h, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
+def _coded(h: np.ndarray, c: np.ndarray) -> bytes:
+    """A run's file: sorted hashes as byte planes of their differences, then the second hashes, compressed."""
+    planes = np.diff(h, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes + c.tobytes())
 
-def _decoded(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(U64).ravel(), dtype=U64)
+
+def _decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    n = len(data) // 10
+    return np.cumsum(data[: 8 * n].reshape(8, -1).T.copy().view(U64).ravel(), dtype=U64), data[8 * n :].view(np.uint16)
 
 
 def _ordered(doc: np.ndarray, start: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +138,14 @@ def fingerprints(docs: DataFrame, buckets: int, groups: int, s: Settings) -> Dat
                 return []
             place = np.repeat(np.arange(len(doc_ids)), counts)
             doc, start = doc_ids[place], at - offsets[place]
-            wh, wc = rolled(h, s.window)[at], (rolled(h, s.window, 0xD6E8FEB86659FD93)[at] >> U64(48)).astype(np.uint16)
+            wh, wc = rolled(h, s.window)[at] >> U64(16), (rolled(h, s.window, 0xD6E8FEB86659FD93)[at] >> U64(48)).astype(np.uint16)
             del h
             order, lead = _ordered(doc, start, wh, wc)
             first = order[lead]
             repeat = (doc[order] != doc[first]) | (start[order] != start[first])
             rows = _removed(doc[order[repeat]], start[order[repeat]], groups)
             own = np.sort(order[lead == np.arange(len(lead))])
-            bucket = ((wh[own] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            bucket = ((wh[own] >> U64(16)) * U64(buckets) >> U64(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             own, bucket = own[by], bucket[by]
             cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -134,7 +160,7 @@ def fingerprints(docs: DataFrame, buckets: int, groups: int, s: Settings) -> Dat
                 ids.append(FIRST if d is None else d)
                 texts.append(t)
                 size += len(t or b"")
-                if size > 6 * s.chunk_words:
+                if size > s.chunk_bytes:
                     yield from out(flush())
                     ids, texts, size = [], [], 0
         if ids:
@@ -144,26 +170,35 @@ def fingerprints(docs: DataFrame, buckets: int, groups: int, s: Settings) -> Dat
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of windows' hashes in a folder, newest last."""
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
-        self.runs: list[tuple[str, int]] = []
-        self.made = 0
-
-    def history(self) -> DataFrame:
-        frames = [self.spark.read.schema(PACKED).parquet(p).where(f"kind = {RUN}") for p, _ in self.runs]
-        out = self.spark.createDataFrame([], PACKED)
-        for f in frames:
-            out = out.unionByName(f)
-        return out
+    """Sorted immutable runs of windows' hashes in folders, newest last, each with a file for each hash range.
 
-    def _path(self) -> str:
+    Tasks name the files they write after themselves, and only those in a run's manifest count, so that tasks can run
+    again. The manifests stay tables; nothing of them comes to the driver but their sums.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.made = spark, folder, 0
+        #: Folder, manifest, entries.
+        self.runs: list[tuple[str, DataFrame, int]] = []
+
+    def _new(self) -> str:
         self.made += 1
         return f"{self.folder}/run-{self.made:05d}"
 
+    def manifest(self, runs=None) -> DataFrame:
+        out = self.spark.createDataFrame([], "bucket int, path string, n long")
+        for _, m, _ in self.runs if runs is None else runs:
+            out = out.unionByName(m)
+        return out
+
+    def _added(self, folder: str, done: DataFrame) -> None:
+        files = done.where(f"kind = {RUN}").select("bucket", F.col("starts").cast("string").alias("path"), F.conv(F.hex("sizes"), 16, 10).cast("long").alias("n"))
+        n = files.agg(F.sum("n")).first()[0] or 0
+        self.runs.append((folder, files, n))
+
     def absorb(self, windows: DataFrame, groups: int, keep: bool = True) -> DataFrame:
         """Merge-joins a batch with the runs; returns its removals. keep: the batch's new windows become a run."""
+        folder = self._new()
 
         def merge(key, new, old):
             passed = new.filter(pa.compute.equal(new.column("kind"), REMOVED))
@@ -171,16 +206,13 @@ class FingerprintIndex:
             rows = []
             if new.num_rows:
                 doc, start = _unpacked(new)
-                h = np.frombuffer(b"".join(new.column("h").to_pylist()), U64)
-                c = np.frombuffer(b"".join(new.column("c").to_pylist()), np.uint16)
+                h, c = _hashes(new), np.frombuffer(b"".join(new.column("c").to_pylist()), np.uint16)
                 order, lead = _ordered(doc, start, h, c)
                 leaders = np.flatnonzero(lead == np.arange(len(lead)))
                 known = np.zeros(len(leaders), bool)
                 lh, lc = h[order[leaders]], c[order[leaders]]
-                for raw_h, raw_c in zip(old.column("h").to_pylist(), old.column("c").to_pylist()):
-                    oh, oc = _decoded(raw_h), np.frombuffer(raw_c, np.uint16)
-                    k = np.searchsorted(oh, lh)
-                    end = np.searchsorted(oh, lh, "right")
+                for oh, oc in _opened(old.column("path").to_pylist()):
+                    k, end = np.searchsorted(oh, lh), np.searchsorted(oh, lh, "right")
                     while (go := k < end).any():
                         known[go] |= oc[k[go]] == lc[go]
                         k = k + go
@@ -191,33 +223,62 @@ class FingerprintIndex:
                 repeat |= known[np.cumsum(slot) - 1]
                 rows += _removed(doc[order[repeat]], start[order[repeat]], groups)
                 if keep and not known.all():
-                    rows.append((RUN, key[0].as_py(), None, None, None, _coded(lh[~known]), lc[~known].tobytes()))
+                    rows.append(_file(folder, key[0].as_py(), lh[~known], lc[~known]))
             return pa.concat_tables([passed, pa.Table.from_batches([_batch_of(rows)])]) if rows else passed
 
-        path = self._path()
-        windows.groupBy("bucket").cogroup(self.history().groupBy("bucket")).applyInArrow(merge, PACKED).write.parquet(path)
-        done = self.spark.read.schema(PACKED).parquet(path)
+        done = written(windows.groupBy("bucket").cogroup(self.manifest().groupBy("bucket")).applyInArrow(merge, PACKED), "substring-batch")
+        release(self.spark)
         if keep:
-            size = done.where(f"kind = {RUN}").agg(F.sum(F.octet_length("c"))).first()[0] or 0
-            self.runs.append((path, size // 2))
+            self._added(folder, done)
             self.compact()
         return done.where(f"kind = {REMOVED}")
 
     def compact(self) -> None:
-        """Merges the two newest runs while they are of like size, so there are few runs and each entry is rewritten seldom."""
+        """Merges the two newest runs while they are of like size: there are few runs, and an entry is rewritten seldom."""
+        while len(self.runs) > 1 and self.runs[-1][2] * 4 >= self.runs[-2][2] * 3:
+            folder, two = self._new(), self.runs[-2:]
+
+            done = written(self.manifest(two).groupBy("bucket").applyInArrow(_merged_into(folder), PACKED), "substring-compaction")
+            self.runs = self.runs[:-2]
+            self._added(folder, done)
+            for old, _, _ in two:
+                remove(self.spark, old)
+
+    def drop(self) -> None:
+        for folder, _, _ in self.runs:
+            remove(self.spark, folder)
+        self.runs = []
+
+
+def _merged_into(folder: str):
+    def merge(key, t):
+        parts = list(_opened(t.column("path").to_pylist()))
+        h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(h, kind="stable")
+        return pa.Table.from_batches([_batch_of([_file(folder, key[0].as_py(), h[order], c[order])])])
+
+    return merge
+
+
+def _opened(paths: list[str]):
+    from pyarrow import fs
+
+    for path in paths:
+        system, place = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(place, compression=None) as f:
+            yield _decoded(f.read())
+
 
-        def merge(key, t):
-            h = np.concatenate([_decoded(x) for x in t.column("h").to_pylist()])
-            c = np.frombuffer(b"".join(t.column("c").to_pylist()), np.uint16)
-            order = np.argsort(h, kind="stable")
-            return pa.Table.from_batches([_batch_of([(RUN, key[0].as_py(), None, None, None, _coded(h[order]), c[order].tobytes())])])
+def _file(folder: str, bucket: int, h: np.ndarray, c: np.ndarray) -> tuple:
+    """Writes a range's file and returns its manifest row: the path among `starts`, the number of entries in `sizes`."""
+    from pyarrow import fs
 
-        while len(self.runs) > 1 and self.runs[-1][1] * 4 >= self.runs[-2][1] * 3:
-            (_, m), (_, n) = self.runs[-2:]
-            two, path = self.runs[-2:], self._path()
-            self.runs = two
-            self.history().groupBy("bucket").applyInArrow(merge, PACKED).write.parquet(path)
-            self.runs = [(path, m + n)]
+    path = f"{folder}/range-{bucket:08d}-{uuid.uuid4().hex}.zst"
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    with system.open_output_stream(place, compression=None) as f:
+        f.write(_coded(h, c))
+    return (RUN, bucket, None, len(h).to_bytes(8, "big"), path.encode(), None, None)
 
 
 def _odd_prime(n: int) -> int:
@@ -241,7 +302,7 @@ def deduplicated(docs: DataFrame, s: Settings = Settings(), text: bool = False)
     cuts = docs.select(F.percentile_approx("doc_id", [k / s.batches for k in range(1, s.batches)], 10000)).first()[0] or []
     cuts = sorted(set(cuts))
     folder = shared_path(spark, "fingerprints")
-    index, removed = FingerprintIndex(spark, folder, buckets), []
+    index, removed = FingerprintIndex(spark, folder), []
     for k in range(len(cuts) + 1):
         batch = docs
         if k:
@@ -249,7 +310,7 @@ def deduplicated(docs: DataFrame, s: Settings = Settings(), text: bool = False)
         if k < len(cuts):
             batch = batch.where((F.col("doc_id") <= cuts[k]) | (F.col("doc_id").isNull() if k == 0 else F.lit(False)))
         removed.append(index.absorb(fingerprints(batch, buckets, groups, s), groups, keep=k < len(cuts)))
-        release(spark)
+    index.drop()
     gone = removed[0]
     for r in removed[1:]:
         gone = gone.unionByName(r)
@@ -265,8 +326,8 @@ def _rewritten(docs: DataFrame, gone: DataFrame, groups: int, s: Settings, text:
         doc, start = doc[order], start[order]
         rows = []
         for batch in texts.to_batches():
-            for d, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                words = (t or b"").split()
+            for d, t in zip(batch.column("doc_id").to_pylist(), expanded(batch.column("z"))):
+                words = t.split()
                 n, own = len(words), FIRST if d is None else d
                 i, j = np.searchsorted(doc, own), np.searchsorted(doc, own, "right")
                 if i < j:
@@ -282,7 +343,7 @@ def _rewritten(docs: DataFrame, gone: DataFrame, groups: int, s: Settings, text:
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4 + text)], [x.split()[0] for x in schema.split(", ")])
 
     at = F.coalesce(F.pmod(F.col("doc_id"), F.lit(groups)), F.lit(0)).cast("int")
-    return docs.withColumn("bucket", at).groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(rewrite, schema)
+    return squeezed(docs).withColumn("bucket", at).groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(rewrite, schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
