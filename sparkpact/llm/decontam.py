@@ -133,13 +133,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     One row per document row and item with the best passage. Null and empty texts, and items with fewer than s.n words,
     match nothing; repeated item ids count as separate items.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = _items(benchmark)
+    return _by_broadcast(docs, items, s) if _small(items, s) else _by_shuffle(docs, items, s)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], s: Settings = Settings()) -> DataFrame:
+    """Columns `keep`, the text among them, of the documents without any such passage. Beyond the broadcast's bound rows go by doc_id."""
+    items = _items(benchmark)
+    if _small(items, s):
+        return _by_broadcast(docs, items, s, keep)
+    return docs.join(_by_shuffle(docs, items, s).select("doc_id").distinct(), "doc_id", "left_anti").select(*keep)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _small(items: DataFrame, s: Settings) -> bool:
     size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    small = (size[0] or 0) + 64 * size[1] <= s.broadcast_bytes
-    return _by_broadcast(docs, items, s) if small else _by_shuffle(docs, items, s)
+    return (size[0] or 0) + 64 * size[1] <= s.broadcast_bytes
 
 
-def _by_broadcast(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+def _by_broadcast(docs: DataFrame, items: DataFrame, s: Settings, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = items.orderBy("item_id", "text").collect()  # at most s.broadcast_bytes
     words = [hasher().batch([r.text.encode()])[0] for r in rows]
     vocabulary = np.unique(np.concatenate([*words, np.empty(0, U64)]))
@@ -158,15 +173,18 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
             place = starts[k] - offsets[doc]
             order = np.lexsort((item, doc))
             doc, item, diagonal = doc[order], item[order], (place - at)[order]
-            ids, out = b.column("doc_id"), []
+            ids, out, bad = b.column("doc_id"), [], np.zeros(b.num_rows, bool)
             cuts = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(item, prepend=-1))
             for i, j in zip(cuts, [*cuts[1:], len(doc)]):
                 d, q = int(doc[i]), int(item[i])
                 score, start, end = aligned(index.words[q], h[offsets[d] : offsets[d + 1]], diagonal[i:j], s)
                 if score >= s.threshold:
+                    bad[d] = True
                     out.append((ids[d].as_py(), index.ids[q], score, int(j - i), start, end))
-            yield _rows(out)
+            yield b.filter(pa.array(~bad)) if keep else _rows(out)
 
+    if keep:
+        return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
 
 
