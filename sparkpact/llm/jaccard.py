@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, expanded, release, squeezed, table, written
+from .shared import expanded, release, squeezed, table, written
 from .words import U64, WordHasher, mix, rolled, texts_of, window_starts
 
 
@@ -267,25 +267,32 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     release(spark)
     members = shared.where(f"kind = {MEMBER}").select("h", F.col("a").alias("node"), F.col("na").alias("n"))
     first = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(members.select("node").distinct().join(first, "node"))
+    wanted = members.select("node").distinct().join(first, "node")
     texts = written(wanted.join(squeezed(docs), "doc_id").select("node", "z"), "texts")
     release(spark)
     star = shared.where(f"kind = {STAR}").select("a", "b").distinct()
-    links = cut(verified(star, texts, s))
-    known_components = cut(components(links))
+    links = written(verified(star, texts, s), "links")
+    release(spark)
+    known_components = written(components(links), "components")
     labelled = members.join(known_components, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = cut(labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"))
-    open_ = cut(labelled.join(mixed, "h"))
+    labelled = written(labelled, "members")
+    release(spark)
+    mixed = written(labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"), "mixed")
+    open_ = written(labelled.join(mixed, "h"), "open")
+    release(spark)
     x, y = open_.toDF("h", "a", "na", "ca"), open_.toDF("h", "b", "nb", "cb")
     similar_size = F.expr(f"100 * least(na, nb) >= {s.percent} * greatest(na, nb)")
     across = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_size).select("a", "b").distinct()
-    compared = cut(across.join(star, ["a", "b"], "left_anti"))
-    more = cut(verified(compared, texts, s))
-    final = known_components if more.isEmpty() else cut(components(links.unionAll(more)))
+    compared = written(across.join(star, ["a", "b"], "left_anti"), "across")
+    release(spark)
+    more = written(verified(compared, texts, s), "more-links")
+    release(spark)
+    final = known_components if more.isEmpty() else written(components(links.unionAll(more)), "components")
     named = rows.join(final, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
-    names = cut(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    named = written(named, "named")
+    names = written(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return cut(named).join(names, "component", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    return named.join(names, "component", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
 def representatives(docs: DataFrame, keep: tuple[str, ...], s: Settings = Settings()) -> DataFrame:

@@ -51,8 +51,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
 
-    The cleaner follows the driver's garbage collection, by default only every half hour.
+    The cleaner follows the driver's garbage collection, by default only every half hour. The JVM holds on to its
+    latest query, so an empty one takes that place first.
     """
+    spark.range(1).write.format("noop").mode("append").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
