@@ -7,6 +7,8 @@ leaves a match: each rare token counts one and is indexed alone; frequent tokens
 each counts one less than its tokens and is indexed by pairs within the class. Tokens that many documents share are
 thus indexed only in combination, and only by documents that have little else.
 
+Candidates are then held against a bound from the low-hash part of both whole sets before their texts are moved.
+
 Documents with equal sets are one node. Nodes that share a signature are first compared with the first member of its group,
 so a large group of near copies costs links in proportion to its size; then, in groups whose members aren't yet in one
 component, all pairs across components are compared. Every pair that shares a signature is thereby either compared
@@ -208,11 +210,21 @@ def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
         h, node, size = h[new], node[new], size[new]
+        # groups of the same members are one: their name is a hash of the members
+        begin = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U64(1)) != 0)
+        counts = np.diff(np.append(begin, len(h)))
+        sums = np.concatenate([[U64(0)], np.cumsum(mix(node.view(U64)), dtype=U64)])
+        name = mix(sums[begin + counts] - sums[begin] + counts.astype(U64))
+        once = np.zeros(len(begin), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        keep, h = np.repeat(once & (counts > 1), counts), np.repeat(name, counts)
+        h, node, size = h[keep], node[keep], size[keep]
+        if not len(h):
+            return pa.schema([(n, pa.int32() if n == "kind" else pa.int64()) for n in ("kind", "h", "a", "b", "na", "nb")]).empty_table()
         begin = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U64(1)) != 0)
         counts = np.diff(np.append(begin, len(h)))
-        more = np.repeat(counts > 1, counts)
-        own = np.flatnonzero(more)
-        x, y = own, np.repeat(begin, counts)[more]
+        own = np.arange(len(h))
+        x, y = own, np.repeat(begin, counts)
         ok = (x != y) & (100 * np.minimum(size[x], size[y]) >= s.percent * np.maximum(size[x], size[y]))
         x, y = x[ok], y[ok]
         a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
@@ -231,25 +243,72 @@ def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, SHARED)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by their whole texts."""
-    x, y = texts.select(F.col("node").alias("a"), F.col("z").alias("x")), texts.select(F.col("node").alias("b"), F.col("z").alias("y"))
+def described(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """node, n, q and z of the wanted nodes: the size of the set, its e + 1 lowest tokens (upper 32 bits, in order), the squeezed text."""
 
     def run(batches):
         hasher = WordHasher(fold=True)
         for b in batches:
-            sets = [token_sets(expanded(b.column(c)), hasher, s) for c in ("x", "y")]
+            for i in range(0, b.num_rows, _SLICE):
+                part = b.slice(i, _SLICE)
+                token, at = token_sets(expanded(part.column("z")), hasher, s)
+                n = np.diff(at)
+                low = [(token[p : p + int(spare(int(k), s.percent)) + 1] >> U64(32)).astype(np.uint32).tobytes() for p, k in zip(at, n)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n.astype(np.int64)), pa.array(low, pa.binary()), part.column("z")], ["node", "n", "q", "z"])
+
+    return wanted.join(squeezed(docs), "doc_id").select("node", "z").mapInArrow(run, "node long, n long, q binary, z binary")
+
+
+_SLICE = 200
+
+
+def _bound(p: np.ndarray, n: int, q: np.ndarray, m: int) -> int:
+    """The most that two sets of n and m tokens can share, by their lowest tokens' upper bits."""
+    u, v = np.unique(p), np.unique(q)
+    both = len(np.intersect1d(u, v, assume_unique=True)) + len(p) - len(u) + len(q) - len(v)
+    rest = []
+    if p[-1] <= q[-1]:  # all that is shared up to p's end has been seen
+        rest.append(min(n - len(p), m - int((q < p[-1]).sum())))
+    if q[-1] <= p[-1]:
+        rest.append(min(m - len(q), n - int((p < q[-1]).sum())))
+    return both + max(rest)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs that the bound leaves; no pair that is similar enough is lost."""
+    x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("q").alias(f"q{k}")) for k in "ab")
+
+    def run(batches):
+        for b in batches:
             keep = []
-            for k in range(b.num_rows):
-                (u, p), (v, q) = sets
-                u, v = u[p[k] : p[k + 1]], v[q[k] : q[k + 1]]
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= s.percent * (len(u) + len(v) - both) and both > 0)
+            for n, q, m, r in zip(*(b.column(c).to_pylist() for c in ("na", "qa", "nb", "qb"))):
+                top = _bound(np.frombuffer(q, np.uint32), n, np.frombuffer(r, np.uint32), m)
+                keep.append((100 + s.percent) * top >= s.percent * (n + m))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by their whole texts."""
+    x, y = nodes.select(F.col("node").alias("a"), F.col("z").alias("x")), nodes.select(F.col("node").alias("b"), F.col("z").alias("y"))
+
+    def run(batches):
+        hasher = WordHasher(fold=True)
+        for whole in batches:
+            for i in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(i, _SLICE)
+                (u, p), (v, q) = (token_sets(expanded(b.column(c)), hasher, s) for c in ("x", "y"))
+                keep = []
+                for k in range(b.num_rows):
+                    c, d = u[p[k] : p[k + 1]], v[q[k] : q[k + 1]]
+                    both = len(np.intersect1d(c, d, assume_unique=True))
+                    keep.append(100 * both >= s.percent * (len(c) + len(d) - both) and both > 0)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
+
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per row of docs.
 
@@ -265,13 +324,13 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = written(shared_signatures(indexed(docs, frequent, max(24, size // s.range_bytes), s), s), "signatures")
     release(spark)
-    members = shared.where(f"kind = {MEMBER}").select("h", F.col("a").alias("node"), F.col("na").alias("n"))
+    members = shared.where(f"kind = {MEMBER}").select("h", F.col("a").alias("node"), F.col("na").alias("n")).distinct()
     first = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = members.select("node").distinct().join(first, "node")
-    texts = written(wanted.join(squeezed(docs), "doc_id").select("node", "z"), "texts")
+    nodes = written(described(docs, wanted, s), "nodes")
     release(spark)
     star = shared.where(f"kind = {STAR}").select("a", "b").distinct()
-    links = written(verified(star, texts, s), "links")
+    links = written(verified(written(likely(star, nodes, s), "likely"), nodes, s), "links")
     release(spark)
     known_components = written(components(links), "components")
     labelled = members.join(known_components, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -285,7 +344,7 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     across = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_size).select("a", "b").distinct()
     compared = written(across.join(star, ["a", "b"], "left_anti"), "across")
     release(spark)
-    more = written(verified(compared, texts, s), "more-links")
+    more = written(verified(written(likely(compared, nodes, s), "likely"), nodes, s), "more-links")
     release(spark)
     final = known_components if more.isEmpty() else written(components(links.unionAll(more)), "components")
     named = rows.join(final, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
