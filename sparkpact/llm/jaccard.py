@@ -357,11 +357,11 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def representatives(docs: DataFrame, keep: tuple[str, ...], s: Settings = Settings()) -> DataFrame:
     """Columns `keep`, doc_id and text among them, of one document of each component: that with its smallest doc_id.
 
-    Documents without shingles all stay, and so do rows without doc_id, which nothing could name.
+    Documents without shingles or text all stay, and so do rows without doc_id, which nothing could name.
     """
     docs = docs.select(*keep)
     found = grouped(docs, s).where("doc_id = component_id").select("doc_id", (F.col("n_shingles") > 0).alias("_linked")).distinct()
-    moved = squeezed(docs.where("doc_id is not null")).join(found, "doc_id")
+    moved = squeezed(docs.where("doc_id is not null and text is not null")).join(found, "doc_id")
     rest = [c for c in keep if c not in ("doc_id", "text")]
     # a doc_id that rows repeat: of those with shingles one stays, within the join's own partitions
     order = Window.partitionBy("doc_id").orderBy(*rest, "z")
@@ -372,7 +372,7 @@ def representatives(docs: DataFrame, keep: tuple[str, ...], s: Settings = Settin
             text = pa.array(expanded(b.column("z")), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(c) for c in keep], list(keep))
 
-    return one.mapInArrow(run, docs.schema).unionByName(docs.where("doc_id is null"))
+    return one.mapInArrow(run, docs.schema).unionByName(docs.where("doc_id is null or text is null"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
