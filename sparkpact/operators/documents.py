@@ -101,6 +101,11 @@ def _fix(validator: Validator, document, e) -> tuple[object, str] | None:
         up, bound = k == "exclusiveMinimum", rules[k]
         whole = rules.get("type") == "integer"
         return put((math.floor(bound) + 1 if up else math.ceil(bound) - 1) if whole else bound + (1e-12 if up else -1e-12)), "numericNudge"
+    if k == "pattern":
+        from ..plans.compose import pattern_witness
+
+        found = pattern_witness(rules[k])
+        return None if found is None else (put(found), "replacePattern")
     if k == "multipleOf":
         return put(round(value / rules[k]) * rules[k]), "multipleOfSnap"
     if k == "uniqueItems":
@@ -124,6 +129,10 @@ def _fix(validator: Validator, document, e) -> tuple[object, str] | None:
     return None
 
 
+#: Fixed order of a cycle's passes.
+PASSES = ("type", "enum", "const", "required", "minLength", "maxLength", "uniqueItems", "maxItems", "minItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "contains", "pattern", "multipleOf", "propertyNames", "additionalProperties", "unevaluatedProperties")
+
+
 def repair_document(validator: Validator, document, attempts: int = 3) -> tuple[object, list[tuple[str, str, str]]]:
     """Bounded cycles of error-driven actions; each cycle goes back if the distinct errors don't become fewer."""
     actions: list[tuple[str, str, str]] = []
@@ -132,7 +141,7 @@ def repair_document(validator: Validator, document, attempts: int = 3) -> tuple[
         if not errors:
             break
         draft, taken = json.loads(json.dumps(document)), []
-        for e in errors:
+        for e in sorted(errors, key=lambda e: PASSES.index(e.keyword) if e.keyword in PASSES else len(PASSES)):
             try:
                 done = _fix(validator, draft, e)
             except (KeyError, IndexError, TypeError):  # an earlier action has moved or removed the place

@@ -582,3 +582,110 @@ def report_outcome_summary(spark, sf_dir):
 def operator_levels(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("schema_id")).agg(F.count("*").alias("instances"), F.max("value").alias("ms"), F.count_if(F.col("event_type") == "error").alias("invalid"))
     return RP.operator_levels(e, 300, 480)
+
+
+# --- documents, generation, streams ------------------------------------------------------------------------------
+
+_EVENT_BAD = {
+    "enum": "event_type NOT IN ('click', 'view', 'purchase', 'refund')",
+    "minimum": "value < 1",
+    "maximum": "value > 400",
+    "anyOf": "NOT (user_id <= 50 OR user_id >= 100)",
+    "if": "CASE WHEN event_type = 'purchase' THEN value < 10 ELSE value > 490 END",
+}
+
+
+def _event_docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", "value", "user_id")).alias("doc"))
+
+
+@query("validate_documents", f"SELECT event_id, {' OR '.join(f'({c})' for c in _EVENT_BAD.values())} AS bad FROM events")
+def validate_documents_query(spark, sf_dir):
+    """The generic validator over JSON texts."""
+    from .operators.documents import validate_documents
+
+    return validate_documents(_event_docs(spark, sf_dir), EVENTS, ["event_id"]).select("event_id", (~F.col("valid")).alias("bad"))
+
+
+_DOC_REPAIR = {"type": "object", "required": ["event_id", "note"], "properties": {"event_id": {}, "event_type": {"enum": ["click", "view"]}, "value": {"type": "number", "minimum": 10, "maximum": 100}, "note": {"type": "string", "default": "none"}}, "additionalProperties": False}
+
+
+@query("repair_documents", "SELECT event_id, true AS valid, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'click' END AS event_type, least(greatest(value, 10), 100)::DOUBLE AS value, 'none' AS note FROM events")
+def repair_documents_query(spark, sf_dir):
+    from .operators.documents import repair_documents
+
+    out = repair_documents(_event_docs(spark, sf_dir), _DOC_REPAIR, ["event_id"])
+    d = F.from_json("doc", "event_type string, value double, note string")
+    return out.select("event_id", "valid", d.event_type.alias("event_type"), d.value.alias("value"), d.note.alias("note"))
+
+
+GENERATED = {"type": "object", "required": ["mail", "size"], "properties": {"mail": {"type": "string", "format": "email"}, "size": {"type": "integer", "minimum": 3, "multipleOf": 5}, "kind": {"enum": ["b", "a"]}}, "minProperties": 3}
+
+
+@query("generate_instances", "SELECT i AS instance_id, '{\"mail\":\"user.' || lpad(i::VARCHAR, 6, '0') || '@example.test\",\"size\":5,\"kind\":\"b\"}' AS doc FROM range(10) t(i)")
+def generate_instances(spark, sf_dir):
+    from .operators.generate import generate
+
+    return generate(spark, GENERATED, 10)
+
+
+@query("generate_valid_rate", "SELECT 100::BIGINT AS n, 100::BIGINT AS valid")
+def generate_valid_rate(spark, sf_dir):
+    """What is generated is valid under the contract it came from."""
+    from .operators.documents import validate_documents
+    from .operators.generate import generate
+
+    v = validate_documents(generate(spark, GENERATED, 100), GENERATED, ["instance_id"], formats=True)
+    return v.agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"))
+
+
+_VALID_EVENT = " AND ".join(f"NOT ({c})" for c in _EVENT_BAD.values())
+_EVENT_TARGETS = [("structure", "SCHEMA_NODE", "#", None, "true"), *[("enum", "ENUM_VALUE_HIT", "#/properties/event_type", {"enumIndex": i, "enumValue": v}, f"event_type = '{v}'") for i, v in enumerate(EVENTS["properties"]["event_type"]["enum"])]]
+
+
+@query("stream_coverage", " UNION ALL ".join(f"SELECT '{C.target_id(d, k, p, None, x)}' AS id, count(*) AS n FROM events WHERE {_VALID_EVENT} AND {c} HAVING count(*) > 0" for d, k, p, x, c in _EVENT_TARGETS))
+def stream_coverage(spark, sf_dir):
+    """Hits of valid rows, accumulated by a Structured Streaming query over the events' file."""
+    import uuid
+
+    from .streaming.accumulate import hits_stream
+
+    name = f"coverage_{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not sf_dir.endswith("/") else "*").parquet(f"{sf_dir}/event[s].parquet")
+    q = hits_stream(stream.select("event_id", "event_type", "value", "user_id"), EVENTS).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    wanted = [C.target_id(d, k, p, None, x) for d, k, p, x, _ in _EVENT_TARGETS]
+    return spark.table(name).where(F.col("id").isin(*wanted))
+
+
+# --- planning over a corpus of contracts -------------------------------------------------------------------------
+
+CORPUS = [
+    ("bounds", {"type": "integer", "minimum": 3, "maximum": 2}),
+    ("closed", {"type": "object", "required": ["b"], "properties": {"a": {}}, "additionalProperties": False}),
+    ("fine", {"type": "object", "properties": {"a": {"nullable": True, "type": "string"}}}),
+    ("names", {"type": "object", "propertyNames": {"enum": ["a"]}, "minProperties": 2}),
+    ("bag", {"type": "array", "maxItems": 2, "allOf": [{"contains": {"const": 1}, "minContains": 2}, {"contains": {"const": 2}}]}),
+]
+
+
+@query("compose_proofs", "SELECT * FROM (VALUES ('bounds', 'UNSAT_NUMERIC_BOUNDS', '#'), ('closed', 'UNSAT_REQUIRED_AP_FALSE', '#'), ('names', 'UNSAT_MINPROPS_PNAMES', '#'), ('bag', 'UNSAT_CONTAINS_BAG', '#')) t(contract_id, code, path)")
+def compose_proofs(spark, sf_dir):
+    """Contracts planned in parallel, a row for each proof."""
+    import json
+
+    from .plans.corpus import plan_contracts
+
+    df = spark.createDataFrame([(k, json.dumps(s)) for k, s in CORPUS], "contract_id string, text string")
+    return plan_contracts(df).where(F.col("code").startswith("UNSAT_")).select("contract_id", "code", "path")
+
+
+@query("normalize_schema", "SELECT * FROM (VALUES ('items', '{\"$defs\":{\"x\":true},\"items\":false,\"prefixItems\":[{\"const\":1}]}'), ('nullable', '{\"type\":[\"string\",\"null\"]}')) t(contract_id, canonical)")
+def normalize_schema(spark, sf_dir):
+    import json
+
+    from .plans.corpus import canonical_contracts
+
+    cases = [("items", {"definitions": {"x": True}, "items": [{"enum": [1]}], "additionalItems": False}), ("nullable", {"type": "string", "nullable": True})]
+    return canonical_contracts(spark.createDataFrame([(k, json.dumps(s)) for k, s in cases], "contract_id string, text string"))
