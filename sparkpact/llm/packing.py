@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ SIZE = 2048
 END = 1
 #: Tokens that a task packs at a time.
 BLOCK = 1 << 22
-_PEEL = b".,;:!?"
+_PEEL = b".,;:!?$%*#&|)"
 _PART = 4 << 20
 
 
@@ -67,35 +68,27 @@ class WordIds(dict):
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Makes the ids of all words known."""
+        """Makes the ids of all words known. What can be done for all words at once isn't done word by word."""
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        split, wanted = {}, {}
-        for w in words:
-            if w in self:
-                continue
-            if (ids := self.older.get(w)) is not None:
-                self[w] = ids
-                continue
-            base = w.lower() if w.isascii() and b"<" not in w else w
-            bare = base.rstrip(_PEEL)
-            if not bare or bare == base or not bare.decode()[-1].isalpha():
-                bare = base
-            split[w] = bare, base[len(bare) :]
-            wanted[bare] = wanted[base[len(bare) :]] = None
-        new = [w for w in wanted if w]
-        texts = [w.decode() for w in new]
-        letters = [k for k, t in enumerate(texts) if t.isalpha()]
-        found = self.encode_letters([texts[k] for k in letters])
-        wanted = {}
-        if len(found) == len(letters):
-            wanted = {new[k]: ids for k, ids in zip(letters, found)}
-        rest = [k for k, w in enumerate(new) if w not in wanted]
-        wanted |= {new[k]: ids for k, ids in zip(rest, self.encode([texts[k] for k in rest]))}
-        wanted[b""] = b""
-        for w, (bare, rest) in split.items():
-            self[w] = wanted[bare] + wanted[rest]
+        missing = words - self.keys()
+        lately = missing & self.older.keys()
+        self.update({w: self.older[w] for w in lately})
+        new = list(missing - lately)
+        if not new:
+            return
+        low = b"\n".join(new).lower().split(b"\n")
+        bare = [w.rstrip(_PEEL) for w in low]
+        texts = b"\n".join(bare).decode().split("\n")
+        letters = list(map(str.isalpha, texts))
+        plain = list(dict.fromkeys(compress(texts, letters)))
+        found = dict(zip(plain, self.encode_letters(plain), strict=True))
+        ends = list(dict.fromkeys(w[len(x) :] for w, x, a in zip(low, bare, letters) if a and len(w) > len(x)))
+        after = {b"": b""} | dict(zip(ends, self.encode([e.decode() for e in ends])))
+        self.update({w: found[t] + after[v[len(x) :]] for w, v, x, t in compress(zip(new, low, bare, texts), letters)})
+        rest = [w for w, a in zip(new, letters) if not a]
+        self.update(zip(rest, self.encode([w.decode() for w in rest])))
 
 
 _loaded: dict[str, WordIds] = {}

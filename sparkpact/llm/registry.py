@@ -17,7 +17,10 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
+#: Trained models, alignment, tokenizers and automata can't be written in SQL; tests hold those queries against brute force.
 SQL: dict[str, str] = {
+    "op2_substring_dedup": substring.OP2_SQL,
     "op4_embedding_neardup": neardup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
 }

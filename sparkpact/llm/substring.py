@@ -348,3 +348,20 @@ def _rewritten(docs: DataFrame, gone: DataFrame, groups: int, s: Settings, text:
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
+
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 20], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS s FROM d)),
+f AS (SELECT k, min(doc_id * 10000000 + s) AS first FROM win GROUP BY k),
+cov AS (SELECT DISTINCT doc_id, p FROM (
+        SELECT win.doc_id, unnest(range(win.s, win.s + 20)) AS p FROM win JOIN f USING (k) WHERE win.doc_id * 10000000 + win.s <> f.first)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS t, count(*) AS n
+         FROM each e LEFT JOIN cov c ON e.doc_id = c.doc_id AND e.p = c.p WHERE c.p IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
