@@ -36,8 +36,8 @@ class Settings:
     percent: int = 80
     #: Most tokens of the frequent class.
     frequent: int = 1 << 17
-    chunk_bytes: int = 12 << 20
-    range_bytes: int = 32 << 20
+    chunk_bytes: int = 4 << 20
+    range_bytes: int = 16 << 20
 
 
 def spare(n, percent: int):

@@ -45,7 +45,7 @@ class WordIds(dict):
     words, those not met again lately are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000, suffix: str = "</w>"):
+    def __init__(self, path: str, most: int = 150_000, suffix: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

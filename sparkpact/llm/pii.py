@@ -88,7 +88,7 @@ def _shape(s: str) -> str:
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 5)}", s)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def features(span: str, tokens: int) -> tuple[str, ...]:
     """Of a whole candidate span."""
     bare = span.strip(_EDGE + ".")
