@@ -144,3 +144,44 @@ def test_sources(spark, tmp_path):
     e = spark.createDataFrame(edges, "src string, dst string")
     reach = C.reachability(e, spark.createDataFrame(roots, "operation string, node string"))
     assert {r.node for r in C.reused(reach).collect()} >= {"#/components/schemas/A"}
+
+
+def test_automata():
+    import itertools
+    import re
+
+    from sparkpact.plans import automata as A
+
+    patterns = ["^a(b|c)*$", "^x", "b$", "^[a-c]{2,3}$", "^(?:ab|cd)$", "^\\d+-?$", "a.c", "^[^a]$", "^a?b+$"]
+    words = ["".join(w) for n in range(5) for w in itertools.product("abcx1-", repeat=n)]
+    for p in patterns:
+        d = A.from_pattern(p)
+        assert all(d.accepts(w) == bool(re.search(p, w)) for w in words), p
+    assert A.from_pattern("^(?:b|aa|a)$").words() == ["a", "b", "aa"] and A.from_pattern("^[ab]{2}$").finite and not A.from_pattern("^a+$").finite
+    both = A.product([A.from_pattern("^[a-c]+$"), A.from_names(["ab", "zz", "c"])])
+    assert both.words() == ["c", "ab"] and both.finite
+    assert A.overlap("^a", "b$") and A.overlap("^a$", "^b$") is False and A.overlap("(?=a)", "b") is None
+    assert CoverageEntry([(frozenset(), ("^[ab]{1,2}$",)), (frozenset(["ab", "q"]), ("^a",))]).enumerate() == ["a", "aa", "ab"]
+    got = [d["code"] for d in compose({"patternProperties": {"^a": {}, "b$": {}}, "additionalProperties": False}).diagnostics]
+    assert got == ["AP_FALSE_PATTERN_OVERLAP"]
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from sparkpact import cli
+
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"type": "object", "required": ["a", "b"], "properties": {"a": {"enum": ["x", "y"]}, "b": {"type": "integer", "minimum": 2}}}))
+    out = io.StringIO()
+    assert cli.main(["generate", str(path), "-n", "2"], spark, out) == 0
+    assert json.loads(out.getvalue()) == [{"a": "x", "b": 2}] * 2
+    assert cli.main(["contracts", str(path), "--report", str(tmp_path / "r")], spark, io.StringIO()) == 0
+    assert cli.main(["contracts", str(path), "--min-coverage", "1"], spark, io.StringIO()) == 70
+    report = files.read_report(spark, str(tmp_path / "r"))
+    assert report["byDimension"]["enum"] == 0.5
+    assert cli.main(["coverage", "diff", str(tmp_path / "r"), str(tmp_path / "r")], spark, io.StringIO()) == 0
+    api = tmp_path / "api.json"
+    api.write_text(json.dumps({"paths": {"/x": {"get": {"responses": {"200": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/A"}}}}}}}}, "components": {"schemas": {"A": {"type": "integer", "minimum": 4}}}}))
+    out = io.StringIO()
+    assert cli.main(["openapi", str(api), "--operation", "GET /x"], spark, out) == 0 and json.loads(out.getvalue()) == [4]
