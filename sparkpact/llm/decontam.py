@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .words import NOT_WORD, U64, WordHasher, rolled, texts_of, window_starts
+from .words import NOT_WORD, U64, WordHasher, rolled, sliced, texts_of, window_starts
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, floa
 
     def count(batches):
         own, seen, total = make(), np.zeros(len(vocabulary), np.int64), 0
-        for b in batches:
+        for b in sliced(batches, "text"):
             h, _ = own.batch(texts_of(b.column("text")))
             total += len(h)
             if len(vocabulary):
@@ -164,7 +164,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, s: Settings, keep: tuple[st
 
     def run(batches):
         own, index = hasher(), shared.value
-        for b in batches:
+        for b in sliced(batches, "text"):
             h, offsets = own.batch(texts_of(b.column("text")))
             starts, counts = window_starts(offsets, s.n)
             grams = rolled(h, s.n)[starts] if len(starts) else np.empty(0, U64)
@@ -200,7 +200,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     def grams(id_name: str, n: int):
         def run(batches):
             own = make()
-            for b in batches:
+            for b in sliced(batches, "text"):
                 h, offsets = own.batch(texts_of(b.column("text")))
                 starts, counts = window_starts(offsets, n)
                 doc = np.repeat(np.arange(b.num_rows), counts)

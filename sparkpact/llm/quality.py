@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import held_out, table
-from .words import WordHasher, texts_of
+from .words import WordHasher, sliced, texts_of
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ class Model:
 def _features(docs: DataFrame, keep: list[str], s: Settings) -> DataFrame:
     def run(batches):
         hasher = WordHasher()
-        for b in batches:
+        for b in sliced(batches, "text"):
             text = text_view(texts_of(b.column("text")), hasher)
             meta = meta_view(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), s.sources)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in meta])], [*keep, "f_text", "f_meta"])
@@ -183,7 +183,7 @@ def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep:
 
     def run(batches):
         hasher = WordHasher()
-        for b in batches:
+        for b in sliced(batches, "_text"):
             meta = meta_view(*(b.column(c).to_pylist() for c in ("_lang", "_source", "_n_chars")), s.sources)
             found = model.value.score(text_view(texts_of(b.column("_text")), hasher), meta)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x) for x in found), pa.array(found[2] >= s.threshold)], [*keep, "p_text", "p_meta", "score", "kept"])

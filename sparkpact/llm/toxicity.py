@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import held_out, table
-from .words import NOT_WORD, U64, WordHasher, mix, texts_of
+from .words import NOT_WORD, U64, WordHasher, mix, sliced, texts_of
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     hasher = WordHasher(NOT_WORD, fold=True)
 
     def features(batches):
-        for b in batches:
+        for b in sliced(batches, "text"):
             idx, doc = featurised(texts_of(b.column("text")), hasher, s.bits)
             key = np.unique(doc.astype(np.int64) << 32 | idx)
             cuts = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
@@ -120,7 +120,7 @@ def score(docs: DataFrame, model, s: Settings = Settings(), keep: tuple[str, ...
     def run(batches):
         weights = np.zeros(1 << s.bits)
         weights[sparse.value[0]] = sparse.value[1]
-        for b in batches:
+        for b in sliced(batches, "_text"):
             f, doc = featurised(texts_of(b.column("_text")), hasher, s.bits)
             hit = np.flatnonzero(weights[f])
             key = np.unique(doc[hit].astype(np.int64) << 32 | f[hit])

@@ -141,3 +141,17 @@ def texts_of(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def sliced(batches, column: str, most: int = 2 << 20):
+    """Arrow batches in slices of about `most` bytes of text: what numpy holds at a time doesn't depend on the batch."""
+    for b in batches:
+        i, size = 0, 0
+        sizes = [len(t or b"") for t in texts_of(b.column(column))]
+        for k, n in enumerate(sizes):
+            size += n
+            if size >= most:
+                yield b.slice(i, k + 1 - i)
+                i, size = k + 1, 0
+        if i < b.num_rows or not b.num_rows:
+            yield b.slice(i)
