@@ -1,7 +1,9 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, rerank by the original vectors.
 
 Rotations for balanced binary codes are learnt on a bounded sample. A code is cut into substrings, one a table; vectors
-that share a table's key are candidates, and their cosines in double precision decide. A pair counts in the first
+that share a table's key are candidates, and their cosines in double precision decide. Keys widen with the number of
+vectors, and tables are added with the width until pairs exactly at the threshold meet with the wanted recall; where the
+most tables don't reach it, keys are narrowed, in the end to none, which compares all with all. A pair counts in the first
 table where it meets, so nothing has to be made distinct. Equal vectors are one class with a multiplicity, and a key
 with many vectors is dealt out by pairs of blocks. Tasks give back counts and a spanning forest, not pairs.
 """
@@ -23,7 +25,12 @@ from .shared import cut, table
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.95
+    #: Tables at least and at most, and the share of pairs exactly at `cosine` that have to meet in one of them.
     tables: int = 12
+    most_tables: int = 64
+    recall: float = 0.999
+    #: Vectors of one key on average that keys are widened to keep to.
+    load: int = 32
     #: Vectors that the rotations are learnt on at most.
     sample: int = 4096
     iterations: int = 30
@@ -32,26 +39,54 @@ class Settings:
     unit: int = 8192
 
 
+def pairs_at(base: np.ndarray, dimension: int, count: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, those of base in turn or else random ones, and as many with exactly this cosine to them."""
+    r = np.random.Generator(np.random.PCG64(12345))
+    x = np.resize(base, (count, dimension)) if len(base) else r.normal(size=(count, dimension))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * u
+
+
 class Rotation:
-    """Codes of vectors of one dimension."""
+    """Keys of vectors of one dimension: `tables` of `width` bits, by which pairs at s.cosine meet with s.recall.
 
-    def __init__(self, sample: np.ndarray, dimension: int, bits: int, iterations: int):
+    The recall is measured on pairs made from `fresh` vectors; without a sample, signs of random projections differ with
+    the angle's share of a half turn.
+    """
+
+    def __init__(self, sample: np.ndarray, fresh: np.ndarray, dimension: int, width: int, s: Settings):
         self.mean = sample.mean(0) if len(sample) else np.zeros(dimension)
         x, maps = sample - self.mean, []
         # principal axes; all are kept, as substrings need the bits
         axes = np.linalg.svd(x, full_matrices=True)[2].T if 1 < len(x) else np.eye(dimension)
         v = x @ axes
-        for k in range(-(-bits // dimension)):
+        for k in range(-(-width * s.most_tables // dimension)):
             r = np.linalg.qr(np.random.Generator(np.random.PCG64(k)).normal(size=(dimension, dimension)))[0]
-            for _ in range(iterations if len(x) > 1 else 0):  # nearest codes, then the nearest rotation to them
+            for _ in range(s.iterations if len(x) > 1 else 0):  # nearest codes, then the nearest rotation to them
                 u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
                 r = w.T @ u.T
             maps.append(axes @ r)
-        self.map = np.concatenate(maps, 1)[:, :bits]
+        self.map = np.concatenate(maps, 1)
+        one, two = pairs_at(fresh, dimension, 2 * s.sample, s.cosine)
+        for self.width in range(width, 0, -1):
+            self.tables = s.most_tables
+            if len(sample):
+                met = np.logical_or.accumulate(self.keys(one) == self.keys(two), 1).mean(0)
+            else:
+                met = 1 - (1 - (1 - math.acos(s.cosine) / math.pi) ** self.width) ** np.arange(1, s.most_tables + 1)
+            if met[-1] >= s.recall:
+                self.tables = max(s.tables, int(np.argmax(met >= s.recall)) + 1)
+                break
+        else:
+            self.width, self.tables = 0, 1
+        self.map = self.map[:, : self.width * self.tables]
 
-    def keys(self, x: np.ndarray, tables: int) -> np.ndarray:
-        bits = ((x - self.mean) @ self.map >= 0).reshape(len(x), tables, -1)
-        return (bits @ (1 << np.arange(bits.shape[2], dtype=np.int64))).astype(np.int64)
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        bits = ((x - self.mean) @ self.map[:, : self.width * self.tables] >= 0).reshape(len(x), self.tables, self.width)
+        return (bits @ (1 << np.arange(self.width, dtype=np.int64))).astype(np.int64)
 
 
 def _usable(column: str = "embedding"):
@@ -108,13 +143,15 @@ def links(classes: DataFrame, s: Settings) -> DataFrame:
     """Of classes (id, embedding, times): rows (a, null, n), of which n sums to the vectors linked with class a's from other classes, and forest edges (a, b, 0)."""
     spark = classes.sparkSession
     n = classes.count()
-    width = max(8, min(24, round(math.log2(max(n, 2)))))
+    width = max(8, min(24, round(math.log2(max(n / s.load, 2)))))
     dims = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     main = dims[0].d if dims else 1
-    taken = classes.where(F.size("embedding") == main).orderBy(F.xxhash64("id"), "id").limit(s.sample).select("embedding").collect()  # bounded
+    taken = classes.where(F.size("embedding") == main).orderBy(F.xxhash64("id"), "id").limit(2 * s.sample).select("embedding").collect()  # bounded
     sample = np.array([r.embedding for r in taken], float).reshape(-1, main)
-    bits = width * s.tables
-    rotation = spark.sparkContext.broadcast(Rotation(sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample, main, bits, s.iterations))
+    sample /= np.abs(sample).max(1, keepdims=True)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    learnt, fresh = sample[: s.sample], sample[s.sample :]
+    rotation = spark.sparkContext.broadcast(Rotation(learnt, fresh if 2 * len(fresh) > len(learnt) else sample, main, width, s))
 
     def code(batches):
         others: dict[int, Rotation] = {}
@@ -127,10 +164,10 @@ def links(classes: DataFrame, s: Settings) -> DataFrame:
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if d != main and d not in others:
-                    others[d] = Rotation(np.empty((0, d)), int(d), bits, 0)
-                keys = (rotation.value if d == main else others[d]).keys(x, s.tables)
+                    others[d] = Rotation(np.empty((0, d)), np.empty((0, d)), int(d), width, s)
+                keys = (rotation.value if d == main else others[d]).keys(x)
                 blob, codes = [v.tobytes() for v in x], [v.tobytes() for v in keys.astype(np.int32)]
-                for t in range(s.tables):
+                for t in range(keys.shape[1]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(k), t, np.int32)), pa.array(np.full(len(k), d, np.int32)), pa.array(keys[:, t]), pa.array(ids[k]), pa.array(times[k]), pa.array(codes), pa.array(blob)],
                         ["t", "d", "k", "id", "times", "codes", "x"],
