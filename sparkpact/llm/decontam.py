@@ -7,11 +7,13 @@
    alignment's score as a share of the item's best possible one decides. Edited or paraphrased copies keep most of it.
 
 A benchmark of at most `broadcast_bytes` goes to all tasks, and documents never move. Beyond it, seeds are joined by
-a shuffle on their hash (hot seeds are split by the adaptive join), and texts are joined to the pairs found.
+a shuffle on their hash (hot seeds are split by the adaptive join), and texts are joined to the pairs found. Both ways
+have the same seeds.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,15 +136,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     match nothing; repeated item ids count as separate items.
     """
     items = _items(benchmark)
-    return _by_broadcast(docs, items, s) if _small(items, s) else _by_shuffle(docs, items, s)
+    return _by_broadcast(docs, items, s) if _small(items, s) else _by_shuffle(docs, items, s).drop("digest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], s: Settings = Settings()) -> DataFrame:
-    """Columns `keep`, the text among them, of the documents without any such passage. Beyond the broadcast's bound rows go by doc_id."""
+    """Columns `keep`, the text among them, of the documents without any such passage. Beyond the broadcast's bound rows go by their text's SHA-256."""
     items = _items(benchmark)
     if _small(items, s):
         return _by_broadcast(docs, items, s, keep)
-    return docs.join(_by_shuffle(docs, items, s).select("doc_id").distinct(), "doc_id", "left_anti").select(*keep)
+    bad = _by_shuffle(docs, items, s).select("digest").distinct()
+    texts = docs.where("text is not null")
+    return texts.join(bad, F.sha2(F.col("text").cast("binary"), 256) == bad.digest, "left_anti").select(*keep).unionAll(docs.where("text is null").select(*keep))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -194,7 +198,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
-    """For a benchmark of any size: n-grams of both sides meet on their hash; rarity is the item's rarest half by word counts of the join."""
+    """For a benchmark of any size: n-grams of both sides meet on their hash; word counts come from a join. `digest` is the text's SHA-256."""
     make = hasher
 
     def grams(id_name: str, n: int):
@@ -204,7 +208,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
                 h, offsets = own.batch(texts_of(b.column("text")))
                 starts, counts = window_starts(offsets, n)
                 doc = np.repeat(np.arange(b.num_rows), counts)
-                g = rolled(h, n)[starts] if len(starts) else np.empty(0, U64)
+                g = (rolled(h, n) if n > 1 else h)[starts] if len(starts) else np.empty(0, U64)  # of one word: its own hash
                 yield pa.RecordBatch.from_arrays([b.column(id_name).take(pa.array(doc)), pa.array(g.view(np.int64)), pa.array(starts - offsets[doc])], [id_name, "h", "at"])
 
         return run
@@ -213,28 +217,38 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     i = items.select(F.monotonically_increasing_id().alias("_item"), "item_id", "text")
     item_words = i.select("_item", "text").mapInArrow(grams("_item", 1), "_item long, h long, at long")
     doc_words = d.select("_row", "text").mapInArrow(grams("_row", 1), "_row long, h long, at long").groupBy("h").agg(F.count("*").alias("n"))
-    weights = item_words.join(doc_words, "h", "left").select("_item", "at", F.log(F.coalesce("n", F.lit(0.5))).alias("w"))
-    item_grams = i.select("_item", "text").mapInArrow(grams("_item", s.n), "_item long, h long, at long")
-    chance = item_grams.select("_item", "h", F.col("at").alias("first"), F.explode(F.sequence("at", F.col("at") + s.n - 1)).alias("at")).join(weights, ["_item", "at"]).groupBy("_item", "h", "first").agg(F.sum("w").alias("chance"))
-    from pyspark.sql import Window
+    total = word_shares(docs, np.empty(0, U64))[1]
 
-    ranked = chance.withColumn("r", F.percent_rank().over(Window.partitionBy("_item").orderBy("chance"))).where("r <= 0.5").select("_item", "h", F.col("first").alias("q"))
+    def rare(batches):
+        for b in batches:
+            out = []
+            for item, words in zip(b.column("_item").to_pylist(), b.column("words").to_pylist()):
+                words.sort(key=lambda w: w["at"])
+                h = np.array([w["h"] for w in words], np.int64).view(U64)
+                share = {int(x): w["n"] / total for x, w in zip(h, words) if w["n"] is not None}
+                at = rare_places(h, share, total, s)
+                out += zip([item] * len(at), rolled(h, s.n)[at].view(np.int64).tolist(), at.tolist()) if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["_item", "h", "q"])
+
+    counted = item_words.join(doc_words, "h", "left").groupBy("_item").agg(F.collect_list(F.struct("at", "h", "n")).alias("words"))
+    seeds = counted.mapInArrow(rare, "_item long, h long, q long")
     doc_grams = d.select("_row", "text").mapInArrow(grams("_row", s.n), "_row long, h long, at long")
-    pairs = doc_grams.join(ranked, "h").groupBy("_row", "_item").agg(F.collect_set(F.col("at") - F.col("q")).alias("diagonals"), F.count("*").alias("seeds"))
+    pairs = doc_grams.join(seeds, "h").groupBy("_row", "_item").agg(F.collect_set(F.col("at") - F.col("q")).alias("diagonals"), F.count("*").alias("seeds"))
     both = pairs.join(d, "_row").join(i.withColumnRenamed("text", "item_text"), "_item").select("doc_id", "item_id", "text", "item_text", "diagonals", "seeds")
 
     def run(batches):
         own = make()
         for b in batches:
-            out = []
-            x, y = (own.batch(texts_of(b.column(c))) for c in ("text", "item_text"))
+            out, digests, texts = [], [], texts_of(b.column("text"))
+            x, y = own.batch(texts), own.batch(texts_of(b.column("item_text")))
             for k, (doc_id, item_id, diagonals, seeds) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals", "seeds")))):
                 score, start, end = aligned(y[0][y[1][k] : y[1][k + 1]], x[0][x[1][k] : x[1][k + 1]], np.array(diagonals), s)
                 if score >= s.threshold:
                     out.append((doc_id, item_id, score, seeds, start, end))
-            yield _rows(out)
+                    digests.append(hashlib.sha256(texts[k]).hexdigest())
+            yield _rows(out).append_column("digest", pa.array(digests, pa.string()))
 
-    return both.mapInArrow(run, HITS)
+    return both.mapInArrow(run, f"{HITS}, digest string")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkpact.llm import neardup
+from sparkpact.llm import decontam, neardup
 
 
 def test_embeddings_at_the_threshold(spark):
@@ -33,3 +33,21 @@ def test_embeddings_recall_of_any_width(width):
     for base, other in ((learnt, fresh), (none, none)):
         m = neardup.Rotation(base, other, 64, width, neardup.Settings())
         assert m.map.shape == (64, m.width * m.tables) and (m.keys(x) == m.keys(y)).any(1).mean() >= 0.995
+
+
+def test_decontamination_by_either_way(spark):
+    r = np.random.default_rng(6)
+    medium, rare = [f"m{k}" for k in range(21)], [f"r{k}" for k in range(19)]
+    fill = [" ".join(f"w{k}" for k in r.integers(0, 900, 60)) for _ in range(80)]
+    edited = " ".join([*medium, *(f"e{k}" for k in range(19))])  # the rarest half of the n-grams is gone
+    rows = [*enumerate(fill), (100, f"{fill[0]} {edited}"), (None, f"{edited} {fill[1]}"), (5, edited), (None, "clean"), (101, None), (None, None)]
+    items = [(1, " ".join(medium + rare)), (2, " ".join(f"q{k}" for k in range(12))), (2, "a b"), (3, None)]
+    rows += [(102, items[1][1]), (102, "clean too")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found, kept = [], []
+    for s in (decontam.Settings(), decontam.Settings(broadcast_bytes=0)):
+        found.append(sorted(map(tuple, decontam.contaminated(d, b, s).collect()), key=repr))
+        kept.append(sorted(map(tuple, decontam.clean(d, b, ("doc_id", "text"), s).collect()), key=repr))
+    assert found[0] == found[1] and kept[0] == kept[1]
+    assert sorted((x[0], x[1]) for x in found[1] if x[0] is not None) == [(5, 1), (100, 1), (102, 2)] and len(found[1]) == 4
+    assert kept[1] == sorted([*enumerate(fill), (None, "clean"), (101, None), (None, None), (102, "clean too")], key=repr)
