@@ -243,6 +243,22 @@ def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, SHARED)
 
 
+def texts_by_node(docs: DataFrame, s: Settings) -> DataFrame:
+    """node and z: of each node one squeezed text, whatever the doc_ids of its rows are."""
+
+    def run(batches):
+        import zstandard
+
+        hasher, z = WordHasher(fold=True), zstandard.ZstdCompressor(level=1)
+        for _, texts in _chunks(batches, s):
+            token, at = token_sets(texts, hasher, s)
+            node, some = node_ids(token, at), np.flatnonzero(np.diff(at))
+            k = some[np.unique(node[some], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array([z.compress(texts[i]) for i in k.tolist()], pa.binary())], ["node", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, z binary").groupBy("node").agg(F.min("z").alias("z"))
+
+
 def described(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """node, n, q and z of the wanted nodes: the size of the set, its e + 1 lowest tokens (upper 32 bits, in order), the squeezed text."""
 
@@ -256,7 +272,7 @@ def described(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                 low = [(token[p : p + int(spare(int(k), s.percent)) + 1] >> U64(32)).astype(np.uint32).tobytes() for p, k in zip(at, n)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n.astype(np.int64)), pa.array(low, pa.binary()), part.column("z")], ["node", "n", "q", "z"])
 
-    return wanted.join(squeezed(docs), "doc_id").select("node", "z").mapInArrow(run, "node long, n long, q binary, z binary")
+    return texts_by_node(docs, s).join(wanted, "node").select("node", "z").mapInArrow(run, "node long, n long, q binary, z binary")
 
 
 _SLICE = 200
@@ -325,8 +341,7 @@ def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     shared = written(shared_signatures(indexed(docs, frequent, max(24, size // s.range_bytes), s), s), "signatures")
     release(spark)
     members = shared.where(f"kind = {MEMBER}").select("h", F.col("a").alias("node"), F.col("na").alias("n")).distinct()
-    first = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = members.select("node").distinct().join(first, "node")
+    wanted = members.select("node").distinct()
     nodes = written(described(docs, wanted, s), "nodes")
     release(spark)
     star = shared.where(f"kind = {STAR}").select("a", "b").distinct()

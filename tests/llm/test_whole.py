@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkpact.llm import decontam, neardup
+from sparkpact.llm import decontam, jaccard, neardup
 
 
 def test_embeddings_at_the_threshold(spark):
@@ -51,3 +51,17 @@ def test_decontamination_by_either_way(spark):
     assert found[0] == found[1] and kept[0] == kept[1]
     assert sorted((x[0], x[1]) for x in found[1] if x[0] is not None) == [(5, 1), (100, 1), (102, 2)] and len(found[1]) == 4
     assert kept[1] == sorted([*enumerate(fill), (None, "clean"), (101, None), (None, None), (102, "clean too")], key=repr)
+
+
+def test_jaccard_with_null_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{k}" for k in r.integers(0, 9000, 100)]
+    middle, far, other = [*words[:92], *"abcdefgh"], [*"ijklmnop", *words[8:92], *"abcdefgh"], [f"v{k}" for k in range(100)]
+    rows = [(1, words), (None, middle), (2, far), (7, other), (7, [*words[:99], "z"]), (8, [*other[:99], "z"]), (9, [f"u{k}" for k in range(60)])]
+    lone = [f"t{k}" for k in range(80)]
+    rows += [(None, lone), (None, [*lone[:79], "z"])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    assert 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])  # only the row without doc_id connects them
+    got = jaccard.grouped(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    want = [(1, 1), (None, 1), (2, 1), (7, 7), (7, 1), (8, 7), (9, 9), (None, None), (None, None)]
+    assert sorted(((x.doc_id, x.component_id) for x in got), key=repr) == sorted(want, key=repr)
