@@ -258,17 +258,17 @@ def operation_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "operation", "full").withColumn("delta", F.col("ratio_b") - F.col("ratio_a"))
 
 
-def reachability(edges: DataFrame, roots: DataFrame, deepest: int = 64) -> DataFrame:
-    """Of edges (src, dst) and roots (operation, node): every (operation, node) reached, by a recursive CTE."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_pact_edges")
-    roots.createOrReplaceTempView("_pact_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(operation, node, depth) AS (
-          SELECT operation, node, 0 FROM _pact_roots
-          UNION ALL
-          SELECT r.operation, e.dst, r.depth + 1 FROM reach r JOIN _pact_edges e ON r.node = e.src WHERE r.depth < {deepest})
-        SELECT DISTINCT operation, node FROM reach""")
+def reachability(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of edges (src, dst) and roots (operation, node): every (operation, node) reached, step by step until nothing is new."""
+    edges = edges.select("src", F.col("dst").alias("_dst")).distinct().localCheckpoint()
+    reach = fresh = roots.select("operation", "node").distinct().localCheckpoint()
+    while True:
+        seen = reach.select(F.col("operation").alias("_operation"), F.col("node").alias("_node"))
+        step = fresh.join(edges, F.col("node") == F.col("src")).select("operation", F.col("_dst").alias("node")).distinct()
+        fresh = step.join(seen, F.col("operation").eqNullSafe(F.col("_operation")) & F.col("node").eqNullSafe(F.col("_node")), "left_anti").localCheckpoint()
+        if fresh.isEmpty():
+            return reach
+        reach = reach.unionAll(fresh).localCheckpoint()
 
 
 def reused(reach: DataFrame) -> DataFrame:
