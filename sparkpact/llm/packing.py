@@ -14,9 +14,12 @@ There is no shuffle but that of the histogram's counts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
-from itertools import compress
+from collections.abc import Iterable
+from itertools import compress, filterfalse
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table, written
-from .words import texts_of
+from .words import SPACES, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 2048
@@ -33,7 +36,7 @@ END = 1
 #: Tokens that a task packs at a time.
 BLOCK = 1 << 22
 _PEEL = b".,;:!?$%*#&|)"
-_PART = 4 << 20
+_PART = 6 << 20
 
 
 class WordIds(dict):
@@ -41,15 +44,19 @@ class WordIds(dict):
 
     A final run of common punctuation after a letter is a token sequence of its own and letters are lower-cased by
     the tokenizer, so words share work beyond case and punctuation. Unknown words of letters alone are encoded many at
-    a time: each is one piece of text to the tokenizer, and only its last token is a word's end. Of more than `most`
-    words, those not met again lately are forgotten.
+    a time: each is one piece of text to the tokenizer, and only its last token is a word's end. Beyond about `most`
+    bytes, words not met again lately are forgotten; long ones are, whenever others are learnt.
     """
 
-    def __init__(self, path: str, most: int = 150_000, suffix: str = "</w>"):
+    def __init__(self, path: str, most: int = 24 << 20, suffix: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.older, self.held, self.long = Tokenizer.from_file(path), most, {}, 0, []
+        self.bare = Tokenizer.from_file(path)  # for letters alone, in lower case: nothing to normalise, nor to match
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
@@ -58,39 +65,105 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode_letters(self, words: list[str], at_once: int = 500) -> list[bytes]:
-        """Ids of words that consist of letters."""
-        out = []
-        for e in self.tokenizer.encode_batch_fast(["\n".join(words[i : i + at_once]) for i in range(0, len(words), at_once)], add_special_tokens=False):
+    def encode_letters(self, words: list[str], at_once: int = 250) -> list[bytes]:
+        """Ids of words that consist of letters, as `_letters` gives them."""
+        out, parts = [], [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for part, e in zip(parts, self.bare.encode_batch_fast(list(map("\n".join, parts)), add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            cuts, raw = (np.flatnonzero(self.ends[ids]) + 1) * 4, ids.tobytes()
-            out += [raw[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+            cuts, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *cuts], cuts)] if len(cuts) == len(part) else self.encode(part)
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes the ids of all words known. What can be done for all words at once isn't done word by word."""
-        if len(self) > self.most:
-            self.older = dict(self)
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Makes the ids of all words, each given once, known. What can be done for all words at once isn't done word by word."""
+        for w in self.long:
+            del self[w]
+        self.long = []
+        if self.held > self.most:
+            self.older, self.held = dict(self), 0
             self.clear()
-        missing = words - self.keys()
-        lately = missing & self.older.keys()
-        self.update({w: self.older[w] for w in lately})
-        new = list(missing - lately)
+        missing = list(filterfalse(self.__contains__, words))
+        lately = {w: self.older[w] for w in missing if w in self.older}
+        self.update(lately)
+        new = [w for w in missing if w not in lately] if lately else missing
+        self.held += _ENTRY * len(missing)
         if not new:
             return
-        low = b"\n".join(new).lower().split(b"\n")
-        bare = [w.rstrip(_PEEL) for w in low]
-        texts = b"\n".join(bare).decode().split("\n")
-        letters = list(map(str.isalpha, texts))
-        plain = list(dict.fromkeys(compress(texts, letters)))
+        if len(max(new, key=len)) > _LONG:
+            self.long = [w for w in new if len(w) > _LONG]
+        plain = list(map(bytes.isalpha, new))  # ASCII letters alone
+        some = list(compress(new, plain))
+        if some:
+            self.update(zip(some, self.encode_letters(b"\n".join(some).lower().decode().split("\n"))))
+        if len(some) < len(new):
+            self.learn_others([w for w, a in zip(new, plain) if not a])
+
+    def learn_others(self, new: list[bytes]) -> None:
+        """Of words that aren't ASCII letters alone: those that end in punctuation share the ids of what is before it."""
+        bare = [w.rstrip(_PEEL) for w in new]
+        texts = list(map(_letters, b"\n".join(bare).decode().split("\n")))
+        plain = list(dict.fromkeys(filter(None, texts)))
         found = dict(zip(plain, self.encode_letters(plain), strict=True))
-        ends = list(dict.fromkeys(w[len(x) :] for w, x, a in zip(low, bare, letters) if a and len(w) > len(x)))
+        ends = list({w[len(x) :] for w, x, t in zip(new, bare, texts) if t and len(w) > len(x)})
         after = {b"": b""} | dict(zip(ends, self.encode([e.decode() for e in ends])))
-        self.update({w: found[t] + after[v[len(x) :]] for w, v, x, t in compress(zip(new, low, bare, texts), letters)})
-        rest = [w for w, a in zip(new, letters) if not a]
+        self.update({w: found[t] + after[w[len(x) :]] for w, x, t in zip(new, bare, texts) if t})
+        rest = [w for w, t in zip(new, texts) if not t]
         self.update(zip(rest, self.encode([w.decode() for w in rest])))
 
 
+#: About what a short word and its ids take in a dictionary, in bytes, and from which length on a word isn't kept.
+_ENTRY, _LONG = 200, 64
+
+
+def _letters(t: str) -> str:
+    """A word as the tokenizer's normaliser leaves it, if that is letters alone; else nothing (U+0130 becomes two characters)."""
+    if not t.isascii():
+        t = normalize("NFC", t)
+        if "\u03a3" in t:  # lower case would look at what is around it
+            return ""
+    t = t.lower()
+    return t if t.isalpha() else ""
+
+
+#: One of the marks that most often end a word, straight after an ASCII letter or digit or a Latin-1 letter: a piece of its own.
+_MARK = re.compile(rb"([.,;:!?])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t\n])")
+
+
+_SPACE = np.isin(np.arange(256), list(SPACES))
+
+
+def prepared(text: bytes | None) -> bytes:
+    """A text in lower case as far as ASCII goes, and with a space before many a final mark: its ids are the same.
+
+    The tokenizer composes before it lowers, and some letters compose with a mark (U+0300 to U+036F) in lower case only.
+    """
+    text = text or b""
+    if b"\xcc" not in text and b"\xcd" not in text:
+        text = text.lower()
+    return _MARK.sub(rb" \1", text)
+
+
+def ids_of(texts: list[bytes | None], words: WordIds, last: bytes) -> list[bytes]:
+    """The ids of each text and then `last`. Only distinct words become Python objects; the rest is done by Arrow."""
+    texts = list(map(prepared, texts))
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    gap = _SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return [last] * len(texts)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])]).dictionary_encode()
+    distinct = split.dictionary.to_pylist()
+    words.learn(distinct)
+    found = pa.array(map(words.__getitem__, distinct), pa.large_binary()).take(split.indices)
+    ends, raw = np.frombuffer(found.buffers()[1], np.int64), found.buffers()[2] or b""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at = ends[np.searchsorted(starts, begins)].tolist()
+    return [bytes(raw[i:j]) + last for i, j in zip(at[:-1], at[1:])]
+
+
 _loaded: dict[str, WordIds] = {}
 
 
@@ -101,17 +174,15 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         words = _loaded.get(path)
         if words is None:
             words = _loaded[path] = WordIds(path)
-        last, of = np.array([end], "<u4").tobytes(), words.__getitem__
+        last = np.array([end], "<u4").tobytes()
         for b in batches:
             texts, ids, i = texts_of(b.column("text")), [], 0
-            while i < len(texts):  # the words of a few MB at a time
+            while i < len(texts):  # a few MB at a time
                 j, size = i, 0
                 while j < len(texts) and size < _PART:
                     size += len(texts[j] or b"")
                     j += 1
-                split = [(t or b"").split() for t in texts[i:j]]
-                words.learn(set().union(*split))
-                ids += [b"".join([*map(of, x), last]) for x in split]
+                ids += ids_of(texts[i:j], words, last)
                 i = j
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
