@@ -7,12 +7,14 @@ leaves a match: each rare token counts one and is indexed alone; frequent tokens
 each counts one less than its tokens and is indexed by pairs within the class. Tokens that many documents share are
 thus indexed only in combination, and only by documents that have little else.
 
-Candidates are then held against a bound from the low-hash part of both whole sets before their texts are moved.
-
-Documents with equal sets are one node. Nodes that share a signature are first compared with the first member of its group,
-so a large group of near copies costs links in proportion to its size; then, in groups whose members aren't yet in one
-component, all pairs across components are compared. Every pair that shares a signature is thereby either compared
-or known to be connected.
+Frequent are tokens that many nodes of one chunk have, and those that the index itself finds with many nodes: their
+documents' prefixes are extended and indexed anew.
+
+Documents with equal sets are one node. The groups of signatures that have the same least node form a family. Within it,
+sketches (bit vectors that differ in no more bits than the sets in tokens) rule pairs out before any text is moved. Of the
+pairs left, first only those are verified by their texts that would join the family, nearest first; then all that still
+lie across components. Every pair that shares a signature is thereby ruled out, verified or known to be connected, and the
+pairs that leave a task are about as many as its nodes, also where thousands of near copies meet.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import expanded, release, squeezed, table, written
-from .words import U64, WordHasher, mix, rolled, texts_of, window_starts
+from .shared import Written, expanded, release, squeezed, table, tasks, written
+from .words import _MASK, U64, WordHasher, mix, rolled, texts_of, window_starts
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,10 @@ class Settings:
     frequent: int = 1 << 17
     chunk_bytes: int = 4 << 20
     range_bytes: int = 16 << 20
+    #: Nodes that a single token may have before it counts as frequent.
+    crowd: int = 512
+    #: Members of a group that are compared in one piece.
+    block: int = 2048
 
 
 def spare(n, percent: int):
@@ -79,14 +85,15 @@ def node_ids(token: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(token: np.ndarray, is_frequent: np.ndarray, s: Settings) -> np.ndarray:
-    """Of one set, in hash order: its prefix's rare tokens, and pairs of frequent ones within their classes."""
+    """Of one set, in hash order: its prefix's rare tokens (odd), and pairs of frequent ones within their classes (even)."""
     n = len(token)
     e = int(spare(n, s.percent))
     rare = token[~is_frequent][: e + 1]
+    alone = rare | U64(1)
     if len(rare) > e or n == 1:
-        return rare
+        return np.unique(alone)
     common = token[is_frequent]
-    need, out = e + 1 - len(rare), [rare]
+    need, out = e + 1 - len(rare), [alone]
     low, high = -(-s.percent * n // 100), n * 100 // s.percent
     for bits in sorted({level(m, s.percent) for m in range(low, high + 1)} if high - low < 64 else {level(m, s.percent) for m in (*range(low, high + 1, max(1, (high - low) // 64)), high)}):
         kind = (mix(common) >> U64(32)).astype(np.int64) & ((1 << bits) - 1)
@@ -103,7 +110,7 @@ def signatures(token: np.ndarray, is_frequent: np.ndarray, s: Settings) -> np.nd
             if not same.any():
                 break
             a, b = own[:-gap][same], own[gap:][same]
-            out.append(mix(np.minimum(a, b) * U64(0x9E3779B97F4A7C15) + np.maximum(a, b) + U64(bits)))
+            out.append(mix(np.minimum(a, b) * U64(0x9E3779B97F4A7C15) + np.maximum(a, b) + U64(bits)) & U64(_MASK - 1))
     return np.unique(np.concatenate(out))
 
 
@@ -152,49 +159,65 @@ def facts(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 PACKED = "bucket int, nodes binary, sizes binary, at binary, h binary"
-STAR, MEMBER = 0, 1
-SHARED = "kind int, h long, a long, b long, na long, nb long"
+#: Signatures that one task keeps before it deals them out (32 a range at least), and most hash ranges.
+_HELD, _RANGES = 1 << 19, 1 << 16
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray, buckets: int, s: Settings) -> DataFrame:
-    """The signatures of every chunk's nodes, packed by hash range."""
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))  # at most s.frequent hashes
+    """The signatures of every chunk's nodes, packed by hash range. Those of single tokens are odd, of combinations even."""
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent >> U64(1)))  # at most s.frequent hashes
+
+    def rows(held):
+        h, node, n = (np.concatenate(c) for c in zip(*held))
+        bucket = ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, node, n, bucket = h[order], node[order], n[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+        out = []
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own, first, at = np.unique(node[i:j], return_index=True, return_inverse=True)
+            out.append((int(bucket[i]), own.tobytes(), n[i:j][first].tobytes(), at.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), h[i:j].tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], [x.split()[0] for x in PACKED.split(", ")])
 
     def run(batches):
-        hasher, often = WordHasher(fold=True), known.value
+        hasher, often, held, size = WordHasher(fold=True), known.value, [], 0
         table_ = np.zeros(1 << 22, bool)
-        table_[often >> U64(42)] = True
+        table_[often >> U64(41)] = True
         for ids, texts in _chunks(batches, s):
             token, offsets = token_sets(texts, hasher, s)
             node, n = node_ids(token, offsets), np.diff(offsets)
             common = table_[token >> U64(42)]
             maybe = np.flatnonzero(common)
             if len(maybe):
-                k = np.minimum(np.searchsorted(often, token[maybe]), len(often) - 1)
-                common[maybe] = often[k] == token[maybe]
+                k = np.minimum(np.searchsorted(often, token[maybe] >> U64(1)), len(often) - 1)
+                common[maybe] = often[k] == token[maybe] >> U64(1)
             _, one = np.unique(node, return_index=True)
             one = one[n[one] > 0]
             found = [signatures(token[offsets[k] : offsets[k + 1]], common[offsets[k] : offsets[k + 1]], s) for k in one]
-            if not found:
-                continue
-            h, at = np.concatenate(found), np.repeat(np.arange(len(one)), [len(x) for x in found]).astype(np.int32)
-            bucket = ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                k = order[cuts[b] : cuts[b + 1]]
-                if len(k):
-                    own, at_own = np.unique(at[k], return_inverse=True)
-                    rows.append((b, node[one[own]].tobytes(), n[one[own]].astype(np.int64).tobytes(), at_own.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), h[k].tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in PACKED.split(", ")])
+            if found:
+                counts = [len(x) for x in found]
+                held.append((np.concatenate(found), np.repeat(node[one], counts), np.repeat(n[one].astype(np.int64), counts)))
+                size += sum(counts)
+            if size >= max(_HELD, 32 * buckets):
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
+FOUND = "kind int, g long, node long, n long"
+MEMBER, CROWD = 0, 1
+
+
 def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
-    """Of signatures that two nodes or more have: each member, and pairs of members with the group's first one."""
+    """Of signatures that two nodes or more of similar size have: the members (node and its size n), by the group's least node g.
+
+    Groups that begin with the same node are one family: what many signatures hold together is compared once. Rows of
+    kind CROWD are single tokens g that n > s.crowd nodes have.
+    """
 
     def meet(key, t):
         h, node, size = [], [], []
@@ -205,46 +228,51 @@ def shared_signatures(packed: DataFrame, s: Settings) -> DataFrame:
             node.append(nodes[at])
             size.append(sizes[at])
         h, node, size = np.concatenate(h), np.concatenate(node), np.concatenate(size)
-        order = np.lexsort((node, h))
+        order = np.lexsort((node, size, h))
         h, node, size = h[order], node[order], size[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
         h, node, size = h[new], node[new], size[new]
-        # groups of the same members are one: their name is a hash of the members
+        near = np.zeros(len(h), bool)  # of similar size as the next one of the group
+        near[:-1] = (h[1:] == h[:-1]) & (100 * size[:-1] >= s.percent * size[1:])
+        near[1:] |= near[:-1].copy()
+        h, node, size = h[near], node[near], size[near]
         begin = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U64(1)) != 0)
         counts = np.diff(np.append(begin, len(h)))
-        sums = np.concatenate([[U64(0)], np.cumsum(mix(node.view(U64)), dtype=U64)])
-        name = mix(sums[begin + counts] - sums[begin] + counts.astype(U64))
-        once = np.zeros(len(begin), bool)
-        once[np.unique(name, return_index=True)[1]] = True
-        keep, h = np.repeat(once & (counts > 1), counts), np.repeat(name, counts)
-        h, node, size = h[keep], node[keep], size[keep]
-        if not len(h):
-            return pa.schema([(n, pa.int32() if n == "kind" else pa.int64()) for n in ("kind", "h", "a", "b", "na", "nb")]).empty_table()
-        begin = np.flatnonzero(np.diff(h, prepend=h[:1] ^ U64(1)) != 0)
-        counts = np.diff(np.append(begin, len(h)))
-        own = np.arange(len(h))
-        x, y = own, np.repeat(begin, counts)
-        ok = (x != y) & (100 * np.minimum(size[x], size[y]) >= s.percent * np.maximum(size[x], size[y]))
-        x, y = x[ok], y[ok]
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        zero = np.zeros(len(pairs), np.int64)
+        crowds = (counts > s.crowd) & (h[begin] & U64(1) == 1)
+        family = np.repeat(np.minimum.reduceat(node, begin), counts) if len(begin) else node
+        order = np.lexsort((node, family))
+        family, node, size = family[order], node[order], size[order]
+        new = np.ones(len(node), bool)
+        new[1:] = (family[1:] != family[:-1]) | (node[1:] != node[:-1])
         columns = [
-            np.repeat([STAR, MEMBER], [len(pairs), len(own)]).astype(np.int32),
-            np.concatenate([zero, h[own].view(np.int64)]),
-            np.concatenate([pairs[:, 0], node[own]]),
-            np.concatenate([pairs[:, 1], np.zeros(len(own), np.int64)]),
-            np.concatenate([zero, size[own]]),
-            np.concatenate([zero, np.zeros(len(own), np.int64)]),
+            np.repeat([MEMBER, CROWD], [int(new.sum()), int(crowds.sum())]).astype(np.int32),
+            np.concatenate([family[new], h[begin][crowds].view(np.int64)]),
+            np.concatenate([node[new], np.zeros(int(crowds.sum()), np.int64)]),
+            np.concatenate([size[new], counts[crowds]]),
         ]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in SHARED.split(", ")])
+        return pa.Table.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in FOUND.split(", ")])
+
+    return packed.groupBy("bucket").applyInArrow(meet, FOUND)
 
-    return packed.groupBy("bucket").applyInArrow(meet, SHARED)
 
+def sketch_bits(n):
+    """Bits of the sketch of a set of n: a power of two of at least three a token."""
+    return 1 << max(6, int(3 * n - 1).bit_length())
 
-def texts_by_node(docs: DataFrame, s: Settings) -> DataFrame:
-    """node and z: of each node one squeezed text, whatever the doc_ids of its rows are."""
+
+def sketches(token: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each token set a bit vector in which each token flips one bit. Sketches differ in no more bits than sets in tokens."""
+    out, place = [], mix(token ^ U64(0x2545F4914F6CDD1D))
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        bits = sketch_bits(j - i)
+        flips = np.bincount((place[i:j] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def described(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """node, sketch and z (one squeezed text) of the wanted nodes, whatever the doc_ids of their rows are."""
 
     def run(batches):
         import zstandard
@@ -256,53 +284,162 @@ def texts_by_node(docs: DataFrame, s: Settings) -> DataFrame:
             k = some[np.unique(node[some], return_index=True)[1]]
             yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array([z.compress(texts[i]) for i in k.tolist()], pa.binary())], ["node", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, z binary").groupBy("node").agg(F.min("z").alias("z"))
-
-
-def described(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """node, n, q and z of the wanted nodes: the size of the set, its e + 1 lowest tokens (upper 32 bits, in order), the squeezed text."""
-
-    def run(batches):
+    def sketch(batches):
         hasher = WordHasher(fold=True)
         for b in batches:
             for i in range(0, b.num_rows, _SLICE):
                 part = b.slice(i, _SLICE)
                 token, at = token_sets(expanded(part.column("z")), hasher, s)
-                n = np.diff(at)
-                low = [(token[p : p + int(spare(int(k), s.percent)) + 1] >> U64(32)).astype(np.uint32).tobytes() for p, k in zip(at, n)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n.astype(np.int64)), pa.array(low, pa.binary()), part.column("z")], ["node", "n", "q", "z"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sketches(token, at), pa.binary()), part.column("z")], ["node", "sketch", "z"])
 
-    return texts_by_node(docs, s).join(wanted, "node").select("node", "z").mapInArrow(run, "node long, n long, q binary, z binary")
+    by_node = docs.select("doc_id", "text").mapInArrow(run, "node long, z binary").groupBy("node").agg(F.min("z").alias("z"))
+    return by_node.join(wanted, "node").select("node", "z").mapInArrow(sketch, "node long, sketch binary, z binary")
 
 
 _SLICE = 200
-
-
-def _bound(p: np.ndarray, n: int, q: np.ndarray, m: int) -> int:
-    """The most that two sets of n and m tokens can share, by their lowest tokens' upper bits."""
-    u, v = np.unique(p), np.unique(q)
-    both = len(np.intersect1d(u, v, assume_unique=True)) + len(p) - len(u) + len(q) - len(v)
-    rest = []
-    if p[-1] <= q[-1]:  # all that is shared up to p's end has been seen
-        rest.append(min(n - len(p), m - int((q < p[-1]).sum())))
-    if q[-1] <= p[-1]:
-        rest.append(min(m - len(q), n - int((p < q[-1]).sum())))
-    return both + max(rest)
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """The pairs that the bound leaves; no pair that is similar enough is lost."""
-    x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("q").alias(f"q{k}")) for k in "ab")
+#: Words of sketches compared at a time.
+_SLAB = 1 << 20
+
+
+class Sketches:
+    """The sketches of some nodes as word matrices by width, each also folded once for pairs of unequal width."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(x) for x in raw], np.int64)
+        self.row, self.plain, self.folded = np.zeros(len(raw), np.int64), {}, {}
+        for w in np.unique(self.width).tolist():
+            k = np.flatnonzero(self.width == w)
+            self.row[k] = np.arange(len(k))
+            self.plain[w] = np.frombuffer(b"".join(raw[i] for i in k.tolist()), U64).reshape(len(k), w // 8)
+            if w > 8:
+                half = w // 16
+                self.folded[w] = self.plain[w][:, :half] ^ self.plain[w][:, half:]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of x and y differ; those more than one width apart: in none."""
+        out, u, v = np.zeros(len(x), np.int64), self.width[x], self.width[y]
+        kinds, which = np.unique(np.stack([u, v], 1), axis=0, return_inverse=True)
+        for i, (p, q) in enumerate(kinds.tolist()):
+            if max(p, q) > 2 * min(p, q):
+                continue
+            k, low = np.flatnonzero(which.ravel() == i), min(p, q)
+            a, b = (self.plain[w] if w == low else self.folded[w] for w in (p, q))
+            step = max(1, _SLAB // (low // 8))
+            for j in range(0, len(k), step):
+                own = k[j : j + step]
+                out[own] = np.bitwise_count(a[self.row[x[own]]] ^ b[self.row[y[own]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _pairs(g: np.ndarray, sizes: np.ndarray, percent: int):
+    """Index pairs of similar size within groups, of rows ordered by group and size, some hundred thousand at a time."""
+    group = np.cumsum(np.diff(g, prepend=g[:1]) != 0) << 40
+    last = np.searchsorted(group + sizes, group + sizes * 100 // percent, side="right")
+    begin, count = np.arange(len(sizes)) + 1, np.maximum(last - np.arange(len(sizes)) - 1, 0)
+    ends, i, done = np.cumsum(count), 0, 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, done + (1 << 18), side="right")))
+        x = np.repeat(np.arange(i, j), count[i:j])
+        if len(x):
+            yield x, np.arange(len(x)) + np.repeat(begin[i:j] - (ends[i:j] - count[i:j] - done), count[i:j])
+        i, done = j, int(ends[j - 1])
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Of candidate links of n nodes, those of a spanning forest, nearest first: each part's nearest link, until none is left."""
+    order = np.argsort(far, kind="stable")
+    x, y, left, label, out = x[order], y[order], order, np.arange(n), []
+    while True:
+        u, v = label[x], label[y]
+        apart = u != v
+        if not apart.any():
+            return np.concatenate(out) if out else left[:0]
+        x, y, left, u, v = x[apart], y[apart], left[apart], u[apart], v[apart]
+        nearest = np.full(n, len(u))
+        for end in (u, v):
+            mine = np.full(n, len(u))
+            mine[end[::-1]] = np.arange(len(u))[::-1]
+            nearest = np.minimum(nearest, mine)
+        chosen = np.unique(nearest[nearest < len(u)])
+        out.append(left[chosen])
+        parent = list(range(n))
+        for a, b in zip(u[chosen].tolist(), v[chosen].tolist()):
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            parent[max(a, b)] = min(a, b)
+        root = np.array(parent)
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def _groups(batches, least: int = 4096):
+    """Whole groups of an ordered partition, some thousand rows at a time."""
+    held, rows = [], 0
+    for b in batches:
+        g = b.column("g").to_numpy()
+        ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+        if held and b.num_rows and held[-1].column("g")[-1].as_py() != int(g[0]):
+            ends = np.concatenate([[0], ends])
+        i = 0
+        for j in ends.tolist():
+            if rows + j - i >= least:
+                yield pa.Table.from_batches([*held, b.slice(i, j - i)])
+                held, rows, i = [], 0, j
+        if i < b.num_rows:
+            held.append(b.slice(i))
+            rows += b.num_rows - i
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(members: DataFrame, s: Settings, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that share a family, lie in different components and may be similar by size and sketch.
+
+    members: g, node, n, c (how many the family has), component and sketch. The sketches' distance is at most the sets'
+    symmetric difference, so no similar pair is lost. spanning: only as many, nearest first, as would join all that the
+    pairs can join. A family of more than s.block members goes by pairs of blocks, each of them a group.
+    """
+    p = s.percent
+    blocks = F.ceil(F.col("c") / s.block).cast("int")
+    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    name = F.when(F.col("c") > s.block, F.xxhash64("g", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("g"))
+    dealt = dealt.select(name.alias("g"), "side", (F.col("side") != F.col("other")).alias("cross"), "node", "n", "component", "sketch")
+    # by range: families of any size spread evenly, and a task holds one at a time
+    dealt = dealt.repartitionByRange(tasks(members), "g").sortWithinPartitions("g", "n", "node")
 
     def run(batches):
-        for b in batches:
-            keep = []
-            for n, q, m, r in zip(*(b.column(c).to_pylist() for c in ("na", "qa", "nb", "qb"))):
-                top = _bound(np.frombuffer(q, np.uint32), n, np.frombuffer(r, np.uint32), m)
-                keep.append((100 + s.percent) * top >= s.percent * (n + m))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for t in _groups(batches):
+            g, side, node, n, part = (t.column(c).to_numpy() for c in ("g", "side", "node", "n", "component"))
+            cross = t.column("cross").to_numpy()
+            _, one, own = np.unique(node, return_index=True, return_inverse=True)
+            sketch = Sketches(t.column("sketch").take(pa.array(one)).to_pylist())
+            label, at = np.unique(part, return_inverse=True)
+            found = []
+            for x, y in _pairs(g, n, p):
+                ok = (at[x] != at[y]) & (~cross[x] | (side[x] != side[y]))  # each of two blocks alone is a group of its own
+                x, y = x[ok], y[ok]
+                far, most = sketch.apart(own[x], own[y]), (100 - p) * (n[x] + n[y])
+                near = (100 + p) * far <= most
+                x, y, far = x[near], y[near], far[near] / most[near]
+                if spanning and len(x):
+                    k = _spanning(at[x], at[y], far, len(label))
+                    x, y, far = x[k], y[k], far[k]
+                found.append((x, y, far))
+            if not found:
+                continue
+            x, y, far = (np.concatenate(c) for c in zip(*found))
+            if spanning:
+                k = _spanning(at[x], at[y], far, len(label))
+                x, y = x[k], y[k]
+            pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -325,45 +462,62 @@ def verified(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
 
 
+def signed(docs: DataFrame, often: DataFrame, s: Settings) -> DataFrame:
+    """Families of nodes that share signatures: g, node, n, written. often: (a, n), tokens known to be frequent and in how many nodes.
+
+    Where single tokens turn out to have more than s.crowd nodes, they join the frequent class, prefixes are extended
+    and all is indexed anew, until no such token is left or the class is full; what is then left of large groups is
+    compared in blocks.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(_RANGES, max(24, size // s.range_bytes))
+    counts = {r.a: r.n for r in often.orderBy(F.desc("n"), "a").limit(s.frequent).collect()}  # at most s.frequent
+    while True:
+        found = Written(shared_signatures(indexed(docs, np.array(list(counts), np.int64).view(U64), buckets, s), s), "signatures")
+        new = found.df.where(f"kind = {CROWD}").orderBy(F.desc("n"), "g").limit(max(0, s.frequent - len(counts))).collect()  # at most s.frequent
+        if not new:
+            members = written(found.df.where(f"kind = {MEMBER}").select("g", "node", "n").distinct(), "members")
+            found.drop()
+            return members
+        counts |= {r.g: r.n for r in new}
+        found.drop()
+
+
 def grouped(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per row of docs.
 
     A null or empty text has no shingles and links with nothing: its component is its own doc_id. A null doc_id takes
     part, but is never a component's name unless it is all there is. Rows that repeat a doc_id are links of their own.
+    An empty table gives an empty table; other columns of docs are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = written(facts(docs, s), "shingle-facts")
-    rows = known.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
-    often = known.where(f"kind = {OFTEN}").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(s.frequent).select("a")
-    frequent = np.array([r.a for r in often.collect()], np.int64).view(U64)  # at most s.frequent
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = written(shared_signatures(indexed(docs, frequent, max(24, size // s.range_bytes), s), s), "signatures")
-    release(spark)
-    members = shared.where(f"kind = {MEMBER}").select("h", F.col("a").alias("node"), F.col("na").alias("n")).distinct()
-    wanted = members.select("node").distinct()
-    nodes = written(described(docs, wanted, s), "nodes")
-    release(spark)
-    star = shared.where(f"kind = {STAR}").select("a", "b").distinct()
-    links = written(verified(written(likely(star, nodes, s), "likely"), nodes, s), "links")
+    known = Written(facts(docs, s), "shingle-facts")
+    rows = known.df.where(f"kind = {DOCUMENT}").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
+    members = signed(docs, known.df.where(f"kind = {OFTEN}").groupBy("a").agg(F.sum("b").alias("n")), s)
     release(spark)
-    known_components = written(components(links), "components")
-    labelled = members.join(known_components, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
-    labelled = written(labelled, "members")
+    nodes = Written(described(docs, members.select("node").distinct(), s), "nodes")
     release(spark)
-    mixed = written(labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"), "mixed")
-    open_ = written(labelled.join(mixed, "h"), "open")
+    members = members.join(members.groupBy("g").agg(F.count("*").alias("c")), "g")
+    sketched = members.join(nodes.df.select("node", "sketch"), "node")
+    first = Written(candidates(sketched.withColumn("component", F.col("node")), s, spanning=True), "candidates")
     release(spark)
-    x, y = open_.toDF("h", "a", "na", "ca"), open_.toDF("h", "b", "nb", "cb")
-    similar_size = F.expr(f"100 * least(na, nb) >= {s.percent} * greatest(na, nb)")
-    across = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_size).select("a", "b").distinct()
-    compared = written(across.join(star, ["a", "b"], "left_anti"), "across")
+    links = Written(verified(first.df, nodes.df, s), "links")
+    known_components = components(links.df)
+    labels = F.coalesce("component", "node").alias("component")
+    placed = Written(members.join(known_components, "node", "left").select("g", "node", "n", "c", labels), "placed")
+    mixed = placed.df.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("g")
+    open_ = placed.df.join(mixed, "g").join(nodes.df.select("node", "sketch"), "node")
+    rest = Written(candidates(open_, s, spanning=False).join(first.df, ["a", "b"], "left_anti"), "candidates")
     release(spark)
-    more = written(verified(written(likely(compared, nodes, s), "likely"), nodes, s), "more-links")
+    more = Written(verified(rest.df, nodes.df, s), "links")
+    final = known_components if more.df.isEmpty() else components(links.df.unionAll(more.df))
+    for t in (placed, first, rest, nodes):
+        t.drop()
     release(spark)
-    final = known_components if more.isEmpty() else written(components(links.unionAll(more)), "components")
     named = rows.join(final, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
+    known.drop()
     names = written(named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return named.join(names, "component", "left").select("doc_id", "n_shingles", alone.alias("component_id"))

@@ -42,6 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Written:
+    """A table that `written` made and that can be deleted again once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, shared_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder through Hadoop's file system."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,10 +1,15 @@
 """Results that must not depend on the size of a table, nor on ids being there and distinct."""
 
+import random
+from unicodedata import normalize
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from sparkpact.llm import decontam, jaccard, neardup
+import public_tokenizers
+from sparkpact.llm import decontam, jaccard, neardup, packing
 
 
 def test_embeddings_at_the_threshold(spark):
@@ -65,3 +70,90 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     got = jaccard.grouped(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
     want = [(1, 1), (None, 1), (2, 1), (7, 7), (7, 1), (8, 7), (9, 9), (None, None), (None, None)]
     assert sorted(((x.doc_id, x.component_id) for x in got), key=repr) == sorted(want, key=repr)
+
+
+def cloud(copies: int, words: int = 60, seed: int = 3):
+    """Edited copies of one text: some close to it, some too far from it and from each other, and two outliers that pair up."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(copies):
+        own = list(text)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 5, 8))):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(own)))
+    far = [f"y{i}" if i % 4 == 0 else w for i, w in enumerate(text)]
+    return [*rows, (copies + 1, " ".join(far)), (copies + 2, " ".join([*far, "end"]))]
+
+
+def test_jaccard_of_many_near_copies(spark):
+    rows = cloud(500)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    least = list(range(len(rows)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                links += 1
+                x, y = root(i), root(j)
+                least[max(x, y)] = min(x, y)
+    want = [(rows[i][0], len(a), rows[root(i)][0]) for i, a in enumerate(sets)]
+    assert 30 < len({w[2] for w in want}) < 400 and links > 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for s in (jaccard.Settings(), jaccard.Settings(chunk_bytes=8000, crowd=16, block=50, frequent=100), jaccard.Settings(chunk_bytes=8000, crowd=4, block=128, frequent=1 << 17)):
+        assert sorted(map(tuple, jaccard.grouped(docs, s).collect())) == want
+
+
+def test_jaccard_sketches_bound_the_distance():
+    rng = np.random.default_rng(5)
+    token = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for n in (1, 5, 64, 90, 700, 3000):
+        for size in {max(1, n * 4 // 5), n}:
+            a, b = np.sort(token[:n]), np.sort(token[n // 6 : n // 6 + size])
+            both = len(np.intersect1d(a, b))
+            pair = jaccard.Sketches([jaccard.sketches(x, np.array([0, len(x)]))[0] for x in (a, b)])
+            assert pair.apart(np.array([0]), np.array([1]))[0] <= len(a) + len(b) - 2 * both
+
+
+def direct(tokenizer, text: str) -> list[int]:
+    return [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def packed_ids(spark, texts: list[str], path: str) -> list[list[int]]:
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(packing.tokenised(df, path).collect(), key=lambda r: r.doc_id)
+    return [np.frombuffer(r.ids, "<u4").tolist() for r in rows]
+
+
+def test_packing_of_every_letter(spark):
+    path = str(public_tokenizers.path(packing.TOKENIZER))
+    tokenizer = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    some = [c for c in letters if ord(c) < 0x3400 or c.lower() != c or len(normalize("NFC", c)) > 1] + letters[::97]
+    texts = [" ".join(f"{c} a{c}b {c}, {c.upper()}{c}" for c in some[i : i + 50]) for i in range(0, len(some), 50)]
+    texts += [f"x {c}y." for c in some if len(c.lower()) > 1 or not c.lower().isalpha()] + ["I love İstanbul", "İİ, İ.", "ŉ ǰ ΐ"]
+    assert packed_ids(spark, texts, path) == [direct(tokenizer, t) for t in texts]
+
+
+def test_packing_of_random_mixes(spark):
+    path = str(public_tokenizers.path(packing.TOKENIZER))
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(11)
+    pieces = ["word", "Word", "É", "é", "été", "»", "«", "?!", ".", ",", "...", "'s", "don't", "'", "42", "a1", "×", "÷", "é.", "İ", "ß", "ſ", "ﬁ", "٣", "中文", "é", "́", "<|endoftext|>", "-", "–", "$5,000.00", " ", " "]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", "", " ", " ", "\n", "\t", ". ", ", ", "! "]) for _ in range(40)) for _ in range(400)]
+    assert packed_ids(spark, texts, path) == [direct(tokenizer, t) for t in texts]
+
+
+def test_word_cache_is_bounded():
+    words = packing.WordIds(str(public_tokenizers.path(packing.TOKENIZER)), most=50_000)
+    for k in range(40):
+        batch = {f"w{chr(97 + k % 26)}{i}".encode() for i in range(k * 100, k * 100 + 100)} | {b"long" * 50 + str(k).encode()}
+        words.learn(batch)
+        assert all(w in words for w in batch)
+    assert len(words) + len(words.older) < 800 and sum(len(w) > 64 for w in words) == 1
