@@ -113,8 +113,19 @@ def xorshift_col(x: Column, times: int = 1) -> Column:
     return x
 
 
-def base36_col(n: Column, width: int) -> Column:
-    return F.lower(F.lpad(F.conv(n.cast("string"), 10, 36), width, "0"))
+def padded_col(text: Column, width: int) -> Column:
+    """Zeros before a text that is shorter than width; longer ones stay whole."""
+    return F.when(F.char_length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def base36_col(n: Column, width: int = 6) -> Column:
+    return padded_col(F.lower(F.conv(n.cast("string"), 10, 36)), width)
+
+
+def seeded_col(seed: int, path: Column) -> Column:
+    """A generator's first state: the seed and a path's FNV hash, never zero."""
+    start = F.lit(normalize_seed(seed)).cast("long").bitwiseXOR(fnv1a32_col(path))
+    return F.when(start == 0, F.lit(1).cast("long")).otherwise(start)
 
 
 def _let(value: Column, f) -> Column:
@@ -139,15 +150,30 @@ def _little_hex(w: Column) -> Column:
     return F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
 
 
-def email_col(n: Column) -> Column:
-    return F.concat(F.lit("user."), base36_col(n, 6), F.lit("@example.test"))
+def email_col(state: Column) -> Column:
+    return F.concat(F.lit("user."), base36_col(xorshift_col(state)), F.lit("@example.test"))
+
+
+def uri_col(state: Column) -> Column:
+    return F.concat(F.lit("https://example.test/resource/"), base36_col(xorshift_col(state)))
+
+
+def date_time_col(state: Column) -> Column:
+    """A day of the year from 2024 on and a second of the day, one draw each, as UTC text."""
+
+    def text(x: Column) -> Column:
+        seconds = F.lit(1704067200).cast("long") + (x % 365) * 86400 + xorshift_col(x) % 86400
+        return F.concat(F.regexp_replace(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), " ", "T"), F.lit(".000Z"))
+
+    return _let(xorshift_col(state), text)
 
 
-def uri_col(n: Column) -> Column:
-    return F.concat(F.lit("https://example.test/resource/"), base36_col(n, 1))
+def format_col(kind: str, index: Column, seed: int) -> Column:
+    """The value of a format's index-th use: each draws from a generator of its own."""
+    draw = {"email": email_col, "uri": uri_col, "uuid": uuid_col, "date-time": date_time_col}[kind]
+    return _let(seeded_col(seed, F.concat(F.lit(f"format:{kind}:"), index.cast("string"))), draw)
 
 
-def date_time_col(n: Column) -> Column:
-    """Days of 2024 on and seconds of the day, both from the counter, as UTC text."""
-    seconds = F.lit(1704067200).cast("long") + (n % 365) * 86400 + n % 86400
-    return F.concat(F.regexp_replace(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), " ", "T"), F.lit(".000Z"))
+def structural_hash_col(**values: Column) -> Column:
+    """The structural hash of an object of columns, names in order. Strings, integers and booleans, whose JSON text is canonical."""
+    return F.sha2(F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]), {"ignoreNullFields": "false"}), 256)

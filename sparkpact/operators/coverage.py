@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import XorShift32, canonical_json, escape_pointer
+from ..functions.lineage import cut
 from .predicates import Compiler
 
 ENGINE_MAJOR, REPORT_MAJOR = 0, 1
@@ -248,8 +249,10 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def newly_uncovered(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Targets that the first run hit, or didn't have, and the second doesn't hit."""
-    return b.where(~F.col("hit") & (F.col("status") == "active")).join(a.where(~F.col("hit")).select("id"), "id", "left_anti")
+    """Targets, whatever their status, that the second run doesn't hit and the first hit, or didn't have, or had in another shape."""
+    before = a.where(~F.col("hit")).select("id", F.col("kind").alias("_kind"), F.col("canon_path").alias("_path"))
+    same = (b["id"] == before["id"]) & b["kind"].eqNullSafe(before["_kind"]) & b["canon_path"].eqNullSafe(before["_path"])
+    return b.where(~F.col("hit")).join(before, same, "left_anti")
 
 
 def operation_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -260,15 +263,16 @@ def operation_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def reachability(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Of edges (src, dst) and roots (operation, node): every (operation, node) reached, step by step until nothing is new."""
-    edges = edges.select("src", F.col("dst").alias("_dst")).distinct().localCheckpoint()
-    reach = fresh = roots.select("operation", "node").distinct().localCheckpoint()
+    edges = edges.select("src", F.col("dst").alias("_dst"))
+    edges = cut(edges.distinct())
+    reach = fresh = cut(roots.select("operation", "node").distinct())
     while True:
         seen = reach.select(F.col("operation").alias("_operation"), F.col("node").alias("_node"))
         step = fresh.join(edges, F.col("node") == F.col("src")).select("operation", F.col("_dst").alias("node")).distinct()
-        fresh = step.join(seen, F.col("operation").eqNullSafe(F.col("_operation")) & F.col("node").eqNullSafe(F.col("_node")), "left_anti").localCheckpoint()
+        fresh = cut(step.join(seen, F.col("operation").eqNullSafe(F.col("_operation")) & F.col("node").eqNullSafe(F.col("_node")), "left_anti"))
         if fresh.isEmpty():
             return reach
-        reach = reach.unionAll(fresh).localCheckpoint()
+        reach = cut(reach.unionAll(fresh))
 
 
 def reused(reach: DataFrame) -> DataFrame:

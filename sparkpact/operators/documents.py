@@ -19,23 +19,35 @@ def _fields(df: DataFrame, keys: list[str]) -> str:
 
 
 def parsed(text: str | None):
-    """The document, and whether there is one."""
+    """The document, and whether there is one: not where the text is null, malformed or too deep to parse."""
     try:
         return (json.loads(text), True) if text is not None else (None, False)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None, False
 
 
+def _one(keyword: str) -> list[dict]:
+    return [{"keyword": keyword, "schema_path": "#", "instance_path": ""}]
+
+
+def checked(validator: Validator, text: str | None) -> list[dict]:
+    """The errors of a text: `parse` where there is no document, `depth` where document and contract nest too deeply."""
+    value, ok = parsed(text)
+    if not ok:
+        return _one("parse")
+    try:
+        return [vars(e) for e in validator.errors(value)]
+    except RecursionError:
+        return _one("depth")
+
+
 def validate_documents(df: DataFrame, schema, keys: list[str], column: str = "doc", formats: bool = False, registry: dict | None = None) -> DataFrame:
-    """keys, valid and errors of each JSON text. A null or malformed text has one error, `parse`."""
+    """keys, valid and errors of each JSON text. A null or malformed text has one error, `parse`; one too deep `depth`."""
 
     def run(batches):
         validator = Validator(schema, formats, dict(registry or {}))
         for b in batches:
-            found = []
-            for text in b.column(column).to_pylist():
-                value, ok = parsed(text)
-                found.append([vars(e) for e in validator.errors(value)] if ok else [{"keyword": "parse", "schema_path": "#", "instance_path": ""}])
+            found = [checked(validator, text) for text in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([not f for f in found]), pa.array(found, _PA_ERRORS)], [*keys, "valid", "errors"])
 
     return df.select(*dict.fromkeys([*keys, column])).mapInArrow(run, f"{_fields(df, keys)}, valid boolean, errors {ERRORS}")
@@ -133,11 +145,11 @@ def _fix(validator: Validator, document, e) -> tuple[object, str] | None:
 PASSES = ("type", "enum", "const", "required", "minLength", "maxLength", "uniqueItems", "maxItems", "minItems", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "contains", "pattern", "multipleOf", "propertyNames", "additionalProperties", "unevaluatedProperties")
 
 
-def repair_document(validator: Validator, document, attempts: int = 3) -> tuple[object, list[tuple[str, str, str]]]:
+def repair_document(validator: Validator, document, attempts: int = 5) -> tuple[object, list[tuple[str, str, str]]]:
     """Bounded cycles of error-driven actions; each cycle goes back if the distinct errors don't become fewer."""
     actions: list[tuple[str, str, str]] = []
     errors = validator.errors(document)
-    for _ in range(max(1, min(3, attempts))):
+    for _ in range(max(1, min(5, attempts))):
         if not errors:
             break
         draft, taken = json.loads(json.dumps(document)), []
@@ -157,8 +169,8 @@ def repair_document(validator: Validator, document, attempts: int = 3) -> tuple[
     return document, actions
 
 
-def repair_documents(df: DataFrame, schema, keys: list[str], column: str = "doc", attempts: int = 3) -> DataFrame:
-    """keys, the repaired text, valid, and the audit rows of each JSON text. Malformed texts stay as they are."""
+def repair_documents(df: DataFrame, schema, keys: list[str], column: str = "doc", attempts: int = 5) -> DataFrame:
+    """keys, the repaired text, valid, and the audit rows of each JSON text. Malformed and too deep texts stay as they are."""
 
     def run(batches):
         validator = Validator(schema)
@@ -166,9 +178,13 @@ def repair_documents(df: DataFrame, schema, keys: list[str], column: str = "doc"
             texts, valid, audit = [], [], []
             for text in b.column(column).to_pylist():
                 value, ok = parsed(text)
-                done, actions = repair_document(validator, value, attempts) if ok else (None, [])
+                try:
+                    done, actions = repair_document(validator, value, attempts) if ok else (None, [])
+                    good = ok and validator.is_valid(done)
+                except RecursionError:
+                    actions, good = [], False
                 texts.append(canonical_json(done) if actions else text)
-                valid.append(ok and validator.is_valid(done))
+                valid.append(good)
                 audit.append([dict(zip(("keyword", "schema_path", "instance_path"), (k, a, p))) for a, k, p in actions])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(texts, pa.string()), pa.array(valid), pa.array(audit, _PA_ERRORS)], [*keys, column, "valid", "actions"])
 

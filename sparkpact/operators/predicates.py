@@ -6,6 +6,8 @@ NULL in a typed column is a missing property: `required` fails on it and every o
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,12 +30,20 @@ FORMATS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """One keyword at one place: true where the row passes."""
+    """One keyword at one place: true where the row passes.
+
+    Below array items and map entries one rule can fail at many places: `places` then gives all of them, and
+    `instance_path` only names them together.
+    """
 
     keyword: str
     schema_path: str
     instance_path: str
     passes: Column
+    places: Column | None = None
+
+    def failures(self) -> Column:
+        return (~self.passes).cast("long") if self.places is None else F.size(self.places).cast("long")
 
 
 class Unsupported(ValueError):
@@ -112,8 +122,7 @@ class Compiler:
             out += self._array(schema, value, kind, at, path, add)
         elif own == "object":
             out += self._object(schema, value, kind, at, path, add, there)
-        self._composed(schema, value, kind, add)
-        return out
+        return out + self._composed(schema, value, kind, at, path, add, there)
 
     @staticmethod
     def _among(value: Column, own: str, options: list) -> Column:
@@ -166,13 +175,40 @@ class Compiler:
             n = F.size(F.filter(v, each(schema["contains"])))
             least, most = schema.get("minContains", 1), schema.get("maxContains")
             add("contains", n >= least if most is None else (n >= least) & (n <= most))
+        out: list[Rule] = []
         for k, s in enumerate(prefix):
-            item = F.get(v, k)
-            add("prefixItems", (F.size(v) <= k) | self.ok(s, item, element), f"prefixItems/{k}")
+            there = F.coalesce(F.size(v) > k, F.lit(False))
+            out += self.rules(s, F.get(v, k), element, f"{at}/prefixItems/{k}", f"{path}/{k}", present=there)
         if "items" in schema:
-            rest = F.slice(v, len(prefix) + 1, F.greatest(F.size(v), F.lit(1))) if prefix else v
-            add("items", F.size(v) <= len(prefix) if schema["items"] is False else F.forall(rest, each(schema["items"])))
-        return []
+            n, sub = len(prefix), schema["items"]
+            rest = F.slice(v, n + 1, F.greatest(F.size(v), F.lit(1))) if n else v
+            entry = lambda x, i: F.struct((i + n).cast("string").alias("name"), x.alias("value"))
+            passes = F.size(v) <= n if sub is False else F.forall(rest, each(sub))
+            out += self._below(sub, F.transform(rest, entry), element, f"{at}/items", path, passes)
+        return out
+
+    def _below(self, schema, entries: Column, kind, at: str, path: str, passes: Column) -> list[Rule]:
+        """The rules of a schema that every entry (name, value) is under: each with all the places at which it fails.
+
+        Whether a row passes is decided by `passes`, without building places, in the first of these rules.
+        """
+        place = lambda e: F.concat(F.lit(path + "/"), escaped(e["name"]))
+        rules = lambda e: self.rules(schema, e["value"], kind, at, "", present=F.lit(True))
+        out = []
+
+        def failing(k: int) -> Callable[[Column], Column]:
+            def at_entry(e):
+                r = rules(e)[k]
+                if r.places is not None:
+                    return F.transform(r.places, lambda deeper: F.concat(place(e), deeper))
+                return F.when(~r.passes, F.array(F.concat(place(e), F.lit(r.instance_path)))).otherwise(F.array().cast("array<string>"))
+
+            return at_entry
+
+        for k, shape in enumerate(rules(F.struct(F.lit("").alias("name"), F.lit(None).cast(kind).alias("value")))):
+            places = F.coalesce(F.flatten(F.transform(entries, failing(k))), F.array().cast("array<string>"))
+            out.append(Rule(shape.keyword, shape.schema_path, f"{path}/*{shape.instance_path}", F.lit(True) if k else F.coalesce(passes, F.lit(True)), places))
+        return out
 
     def _object(self, schema, v: Column, kind, at, path, add, there) -> list[Rule]:
         out: list[Rule] = []
@@ -195,23 +231,46 @@ class Compiler:
             add("minProperties", F.size(keys) >= schema["minProperties"])
         if "maxProperties" in schema:
             add("maxProperties", F.size(keys) <= schema["maxProperties"])
+        none = F.array().cast("array<string>")
+
+        def named(keyword: str, fits: Callable[[Column], Column]) -> None:
+            """A rule on the names themselves: it fails at each name that doesn't fit."""
+            places = F.transform(F.filter(keys, lambda k: ~fits(k)), lambda k: F.concat(F.lit(path + "/"), escaped(k)))
+            out.append(Rule(keyword, f"{at}/{keyword}", f"{path}/*", F.coalesce(~there | F.forall(keys, fits), F.lit(True)), F.coalesce(F.when(there, places), none)))
+
         if "propertyNames" in schema:
-            add("propertyNames", F.forall(keys, lambda k: self.ok(schema["propertyNames"], k, T.StringType())))
-        if schema.get("additionalProperties") is False:
-            add("additionalProperties", F.forall(keys, lambda k: _any([k.isin(*properties) if properties else F.lit(False), *[k.rlike(p) for p in patterns]])))
-        for p, s in patterns.items():
-            if isinstance(kind, T.MapType):
-                add("patternProperties", F.forall(F.map_entries(v), lambda e: ~e.key.rlike(p) | self.ok(s, e.value, kind.valueType)), f"patternProperties/{escape_pointer(p)}")
+            named("propertyNames", lambda k: self.ok(schema["propertyNames"], k, T.StringType()))
+        known = lambda k: _any([k.isin(*properties) if properties else F.lit(False), *[k.rlike(p) for p in patterns]])
+        rest = schema.get("additionalProperties", True)
+        if isinstance(kind, T.MapType):
+            of = {f"patternProperties/{escape_pointer(p)}": (s, lambda k, p=p: k.rlike(p)) for p, s in patterns.items()}
+            if rest is not True and rest is not False:
+                of["additionalProperties"] = (rest, lambda k: ~known(k))
+            for where, (s, applies) in of.items():
+                own = F.filter(F.map_entries(v), lambda e: applies(e["key"]))
+                passes = F.forall(own, lambda e: self.ok(s, e["value"], kind.valueType))
+                entries = F.transform(own, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+                out += self._below(s, F.when(there, entries), kind.valueType, f"{at}/{where}", path, ~there | passes)
+        else:
+            for k in kind.fieldNames():
+                of = {f"patternProperties/{escape_pointer(p)}": s for p, s in patterns.items() if re.search(p, k)}
+                if rest is not True and rest is not False and not of and k not in properties:
+                    of["additionalProperties"] = rest
+                for where, s in of.items():
+                    out += self.rules(s, v[k], field_type(k), f"{at}/{where}", f"{path}/{escape_pointer(k)}", present=F.coalesce(there & has(k), F.lit(False)))
+        if rest is False:
+            named("additionalProperties", known)
         for k, needed in schema.get("dependentRequired", {}).items():
             add("dependentRequired", ~has(k) | _all([has(n) for n in needed]), f"dependentRequired/{escape_pointer(k)}")
         for k, s in schema.get("dependentSchemas", {}).items():
-            add("dependentSchemas", ~has(k) | self.ok(s, v, kind), f"dependentSchemas/{escape_pointer(k)}")
+            out += _only(F.coalesce(there & has(k), F.lit(False)), self.rules(s, v, kind, f"{at}/dependentSchemas/{escape_pointer(k)}", path, present=there))
         return out
 
-    def _composed(self, schema, v: Column, kind, add) -> None:
+    def _composed(self, schema, v: Column, kind, at, path, add, there) -> list[Rule]:
         ok = lambda s: self.ok(s, v, kind)
-        if "allOf" in schema:
-            add("allOf", _all([ok(s) for s in schema["allOf"]]))
+        out: list[Rule] = []
+        for k, s in enumerate(schema.get("allOf", [])):
+            out += self.rules(s, v, kind, f"{at}/allOf/{k}", path, present=there)
         if "anyOf" in schema:
             add("anyOf", _any([ok(s) for s in schema["anyOf"]]))
         if "oneOf" in schema:
@@ -221,8 +280,24 @@ class Compiler:
             add("oneOf", n == 1)
         if "not" in schema:
             add("not", ~ok(schema["not"]))
-        if "if" in schema:
-            add("if", F.when(ok(schema["if"]), ok(schema.get("then", True))).otherwise(ok(schema.get("else", True))))
+        if "if" in schema and ("then" in schema or "else" in schema):
+            held = ok(schema["if"])
+            for branch, applies in (("then", held), ("else", ~held)):
+                if branch in schema:
+                    out += _only(applies, self.rules(schema[branch], v, kind, f"{at}/{branch}", path, present=there))
+            add("if", F.when(held, ok(schema.get("then", True))).otherwise(ok(schema.get("else", True))))
+        return out
+
+
+def _only(applies: Column, rules: list[Rule]) -> list[Rule]:
+    """Rules that count only where a condition holds."""
+    none = F.array().cast("array<string>")
+    return [Rule(r.keyword, r.schema_path, r.instance_path, ~applies | r.passes, None if r.places is None else F.when(applies, r.places).otherwise(none)) for r in rules]
+
+
+def escaped(token: Column) -> Column:
+    """A name as a pointer's token."""
+    return F.replace(F.replace(token, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
 def _any(parts: list[Column]) -> Column:
@@ -233,25 +308,38 @@ def _any(parts: list[Column]) -> Column:
 
 
 def row_rules(df: DataFrame, schema, formats: bool = True) -> list[Rule]:
-    """The rules of a contract whose root is the row of df. Only the columns that the contract names are read."""
+    """The rules of a contract whose root is the row of df.
+
+    Only the columns that the contract names are read, unless it speaks of all properties that are there.
+    """
     compiler = Compiler(formats)
     named = _named(schema)
-    kind = T.StructType([f for f in df.schema if f.name in named])
+    kind = T.StructType([f for f in df.schema if f.name in named or _speaks_of_all(schema)])
     row = F.struct(*[F.col(f"`{f.name}`") for f in kind]) if len(kind) else F.struct(F.lit(1).alias("_"))
     return compiler.rules(schema, row, kind, present=F.lit(True))
 
 
+def _in_place(schema) -> list:
+    """The schemas that apply to the same value as this one."""
+    out = [s for key in ("allOf", "anyOf", "oneOf") for s in schema.get(key, [])]
+    return [s for s in (*out, *(schema.get(k) for k in ("not", "if", "then", "else")), *schema.get("dependentSchemas", {}).values()) if isinstance(s, dict)]
+
+
 def _named(schema) -> set[str]:
     """Property names anywhere in a row's contract."""
     if not isinstance(schema, dict):
         return set()
     out = {*schema.get("properties", {}), *schema.get("required", []), *schema.get("dependentRequired", {}), *schema.get("dependentSchemas", {})}
     out |= {n for v in schema.get("dependentRequired", {}).values() for n in v}
-    for key in ("allOf", "anyOf", "oneOf"):
-        out |= {n for s in schema.get(key, []) for n in _named(s)}
-    for s in (*(schema.get(k) for k in ("not", "if", "then", "else")), *schema.get("dependentSchemas", {}).values()):
-        out |= _named(s)
-    return out
+    return out.union(*map(_named, _in_place(schema)))
+
+
+def _speaks_of_all(schema) -> bool:
+    """Whether a row's contract says something of properties that it doesn't name."""
+    if not isinstance(schema, dict):
+        return False
+    own = any(k in schema for k in ("patternProperties", "propertyNames", "minProperties", "maxProperties")) or schema.get("additionalProperties", True) is not True
+    return own or any(map(_speaks_of_all, _in_place(schema)))
 
 
 ERROR = "struct<keyword:string,schema_path:string,instance_path:string>"
@@ -261,12 +349,27 @@ def errors_column(rules: list[Rule], first_only: bool = False) -> Column:
     """The violations of a row, in the contract's order."""
     if not rules:
         return F.array().cast(f"array<{ERROR}>")
-    found = F.array_compact(F.array(*[F.when(~r.passes, F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.schema_path).alias("schema_path"), F.lit(r.instance_path).alias("instance_path"))) for r in rules]))
+
+    def error(r: Rule) -> Callable[[Column], Column]:
+        return lambda place: F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.schema_path).alias("schema_path"), place.alias("instance_path"))
+
+    if all(r.places is None for r in rules):
+        found = F.array_compact(F.array(*[F.when(~r.passes, error(r)(F.lit(r.instance_path))) for r in rules]))
+    else:
+        none = F.array().cast(f"array<{ERROR}>")
+        found = F.flatten(F.array(*[F.when(~r.passes, F.array(error(r)(F.lit(r.instance_path)))).otherwise(none) if r.places is None else F.transform(r.places, error(r)) for r in rules]))
     return F.slice(found, 1, 1) if first_only else found
 
 
+def _reserve(df: DataFrame, *names: str) -> None:
+    """The columns an operator adds must not be there already: they would be overwritten."""
+    if taken := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(taken)} are taken: rename them first")
+
+
 def validate(df: DataFrame, schema, formats: bool = True, first_only: bool = False) -> DataFrame:
-    """df with `errors` and `valid`: one projection."""
+    """df with `errors` and `valid`: one projection. ValueError if df has columns of these names."""
+    _reserve(df, "errors", "valid")
     return df.withColumn("errors", errors_column(row_rules(df, schema, formats), first_only)).withColumn("valid", F.size("errors") == 0)
 
 
@@ -277,9 +380,9 @@ def violations(df: DataFrame, schema, keys: list[str], formats: bool = True) ->
 
 
 def counts(df: DataFrame, schema, formats: bool = True) -> DataFrame:
-    """Violations by rule, in one aggregation without exploding: keyword, schema_path, n."""
+    """Violations by rule, in one aggregation without exploding: keyword, schema_path, instance_path, n."""
     rules = row_rules(df, schema, formats)
-    totals = df.agg(*[F.count_if(~r.passes).alias(f"n{k}") for k, r in enumerate(rules)])
+    totals = df.agg(*[F.coalesce(F.sum(r.failures()), F.lit(0)).cast("long").alias(f"n{k}") for k, r in enumerate(rules)])
     rows = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.schema_path).alias("schema_path"), F.lit(r.instance_path).alias("instance_path"), F.col(f"n{k}").alias("n")) for k, r in enumerate(rules)])
     return totals.select(F.inline(rows))
 

@@ -1,7 +1,8 @@
 """Repair of typed rows: each violated keyword rewrites its column, in bounded passes, with audit rows and a revert rule.
 
-Pass order: shape (type, enum, const), required defaults, string length, arrays, numeric bounds, contains, pattern and
-multipleOf. All rewrites are Column expressions, so a pass is one projection.
+Pass order: shape (type, enum, const), required defaults, string length, arrays, numeric bounds, contains, pattern,
+multipleOf and names of maps. All rewrites are Column expressions, so a pass is one projection. Nested structs are
+repaired field by field.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .predicates import EPSILON, Compiler, errors_column, json_type, row_rules, score
+from ..functions.hashing import escape_pointer
+from .predicates import EPSILON, Compiler, _reserve, errors_column, json_type, row_rules, score
 
 MINIMAL = {"string": "", "integer": 0, "number": 0.0, "boolean": False}
 #: Fixed tiers: 1 changes a value within its shape, 2 changes structure.
@@ -99,6 +101,8 @@ def rewrites(schema: dict, v: Column, kind: T.DataType, witness: str | None = No
         out.append(r)
         v = F.when(r.when, r.value).otherwise(v)
 
+    if "type" in schema and own == "number":  # the one mismatch that a typed column's values can have
+        add("replaceType", "type", lambda x: F.lit(filler_of({"type": schema["type"]})))
     if "enum" in schema:
         add("replaceEnum", "enum", lambda x: F.lit(schema["enum"][0]))
     if "const" in schema:
@@ -119,7 +123,13 @@ def rewrites(schema: dict, v: Column, kind: T.DataType, witness: str | None = No
         if "contains" in schema:
             least = schema.get("minContains", 1)
             fits = lambda x: F.filter(x, lambda e: compiler.ok(schema["contains"], e, kind.elementType))
-            add("containsAdjust", "contains", lambda x: F.concat(x, F.array_repeat(F.lit(filler_of(schema["contains"])).cast(kind.elementType), F.greatest(F.lit(least) - F.size(fits(x)), F.lit(0)))))
+            missing = lambda x: F.greatest(F.lit(least) - F.size(fits(x)), F.lit(0))
+            more = lambda x: F.concat(x, F.array_repeat(F.lit(filler_of(schema["contains"])).cast(kind.elementType), missing(x)))
+            if "maxContains" in schema:
+                fewer = lambda x: _first_matching(x, schema["maxContains"], lambda e: compiler.ok(schema["contains"], e, kind.elementType))
+                add("containsAdjust", "contains", lambda x: F.when(F.size(fits(x)) > schema["maxContains"], fewer(x)).otherwise(more(x)))
+            else:
+                add("containsAdjust", "contains", more)
     elif own in ("integer", "number"):
         for key in ("minimum", "maximum"):
             if key in schema:
@@ -129,9 +139,63 @@ def rewrites(schema: dict, v: Column, kind: T.DataType, witness: str | None = No
                 add("numericNudge", key, lambda x, key=key: nudge(x, {key: schema[key]}, whole))
         if "multipleOf" in schema:
             add("multipleOfSnap", "multipleOf", lambda x: snap(x, schema["multipleOf"]))
+    elif isinstance(kind, T.MapType):
+        for key in ("propertyNames", "additionalProperties"):
+            if key == "propertyNames" and key in schema:
+                add("removeAdditionalProperty", key, lambda x: F.map_filter(x, lambda k, _: compiler.ok(schema["propertyNames"], k, T.StringType())))
+            elif key == "additionalProperties" and schema.get(key) is False:
+                own_keys = {k: schema[k] for k in ("properties", "patternProperties") if k in schema}
+                add("removeAdditionalProperty", key, lambda x: F.map_filter(x, lambda k, _: _known(own_keys, k)))
     return out
 
 
+def _known(schema: dict, name: Column) -> Column:
+    out = name.isin(*schema["properties"]) if schema.get("properties") else F.lit(False)
+    for p in schema.get("patternProperties", {}):
+        out = out | name.rlike(p)
+    return out
+
+
+def _first_matching(v: Column, most: int, fits) -> Column:
+    """An array without the matching items after the first `most`."""
+    start = F.struct(F.lit(0).alias("n"), F.slice(v, 1, 0).alias("kept"))
+
+    def step(acc, x):
+        hit = fits(x).cast("int")
+        stays = (hit == 0) | (acc["n"] < most)
+        return F.struct((acc["n"] + hit).alias("n"), F.when(stays, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    return F.aggregate(v, start, step, lambda acc: acc["kept"])
+
+
+def nested(schema: dict, v: Column, kind: T.StructType, path: str, max_tier: int, witnesses: dict[str, str]) -> tuple[Column, list[tuple[Column, str, str, str]]]:
+    """A struct with its fields repaired, and (when, action, keyword, instance path) of each action."""
+    fields, actions = [], []
+    for f in kind:
+        s, x = schema.get("properties", {}).get(f.name), v[f.name]
+        if isinstance(s, dict):
+            x, own = repaired(s, x, f.dataType, f"{path}/{escape_pointer(f.name)}", f.name in schema.get("required", []), max_tier, witnesses)
+            actions += [(v.isNotNull() & w, *rest) for w, *rest in own]
+        fields.append(x.alias(f.name))
+    return (F.when(v.isNotNull(), F.struct(*fields)) if actions else v), actions
+
+
+def repaired(schema: dict, v: Column, kind: T.DataType, path: str, required: bool, max_tier: int, witnesses: dict[str, str]) -> tuple[Column, list[tuple[Column, str, str, str]]]:
+    """One value with all its rewrites, and its actions. witnesses: texts for patterns, by instance path without the first slash."""
+    actions: list[tuple[Column, str, str, str]] = []
+    if required and allowed("required", max_tier) and not isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+        actions.append((v.isNull(), "addRequiredDefault", "required", path))
+        v = F.coalesce(v, F.lit(filler_of(schema)).cast(kind))
+    if isinstance(kind, T.StructType):
+        v, inner = nested(schema, v, kind, path, max_tier, witnesses)
+        return v, actions + inner
+    for r in rewrites(schema, v, kind, witnesses.get(path[1:])):
+        if allowed(r.keyword, max_tier):
+            v = F.when(r.when, r.value).otherwise(v)
+            actions.append((r.when, r.action, r.keyword, path))
+    return v, actions
+
+
 ACTION = "struct<action:string,keyword:string,instance_path:string>"
 
 
@@ -142,34 +206,28 @@ def allowed(keyword: str, max_tier: int = 2, in_valid_motif: bool = False, struc
 
 
 def repair(df: DataFrame, schema: dict, attempts: int = 1, max_tier: int = 2, witnesses: dict[str, str] | None = None) -> DataFrame:
-    """df with its columns repaired, and `actions`, `score_before`, `score_after`, `reverted`.
+    """df with its columns repaired, and `actions`, `score_before`, `score_after`, `reverted`; ValueError if df has these.
 
     A row whose distinct errors don't become strictly fewer goes back to what it was. Valid rows aren't touched.
-    attempts: passes, 1 to 3.
+    attempts: passes, 1 to 5.
     """
+    _reserve(df, "actions", "score_before", "score_after", "reverted", "_original", "_audit")
     properties = {k: s for k, s in schema.get("properties", {}).items() if k in df.columns and isinstance(s, dict)}
     kinds = {f.name: f.dataType for f in df.schema}
-    original = F.struct(*[F.col(f"`{c}`") for c in properties])
+    original = F.struct(*[F.col(f"`{c}`") for c in properties]) if properties else F.lit(None)
     out = df.withColumn("_original", original).withColumn("score_before", score(errors_column(row_rules(df, schema))))
     out = out.withColumn("actions", F.array().cast(f"array<{ACTION}>"))
-    for _ in range(max(1, min(3, attempts))):
+    for _ in range(max(1, min(5, attempts))):
         found, actions = {}, []
         for name, s in properties.items():
-            v = F.col(f"`{name}`")
-            start = v
-            if name in schema.get("required", []) and allowed("required", max_tier):
-                missing, v = v.isNull(), F.coalesce(v, F.lit(filler_of(s)).cast(kinds[name]))
-                actions.append((missing, "addRequiredDefault", "required", name))
-            for r in rewrites(s, v, kinds[name], (witnesses or {}).get(name)):
-                if allowed(r.keyword, max_tier):
-                    v = F.when(r.when, r.value).otherwise(v)
-                    actions.append((r.when, r.action, r.keyword, name))
-            if v is not start:
+            v, own = repaired(s, F.col(f"`{name}`"), kinds[name], f"/{escape_pointer(name)}", name in schema.get("required", []), max_tier, witnesses or {})
+            actions += own
+            if own:
                 found[name] = F.when(F.col("score_before") > 0, v).otherwise(F.col(f"`{name}`"))
-        audit = F.array_compact(F.array(*[F.when((F.col("score_before") > 0) & w, F.struct(F.lit(a).alias("action"), F.lit(k).alias("keyword"), F.lit(f"/{n}").alias("instance_path"))) for w, a, k, n in actions])) if actions else F.array().cast(f"array<{ACTION}>")
+        audit = F.array_compact(F.array(*[F.when((F.col("score_before") > 0) & w, F.struct(F.lit(a).alias("action"), F.lit(k).alias("keyword"), F.lit(p).alias("instance_path"))) for w, a, k, p in actions])) if actions else F.array().cast(f"array<{ACTION}>")
         out = out.withColumns({"_audit": audit, **{f"_new_{k}": v for k, v in found.items()}})
-        out = out.withColumns({k: F.col(f"_new_{k}") for k in found} | {"actions": F.concat("actions", "_audit")}).drop("_audit", *[f"_new_{k}" for k in found])
-    out = out.withColumn("score_after", score(errors_column(row_rules(out, schema))))
+        out = out.withColumns({k: F.col(f"`_new_{k}`") for k in found} | {"actions": F.concat("actions", "_audit")}).drop("_audit", *[f"_new_{k}" for k in found])
+    out = out.withColumn("score_after", score(errors_column(row_rules(out.select(*[f"`{c}`" for c in df.columns]), schema))))
     worse = (F.col("score_before") > 0) & (F.col("score_after") >= F.col("score_before"))
     back = {k: F.when(worse, F.col(f"_original.`{k}`")).otherwise(F.col(f"`{k}`")) for k in properties}
     return out.withColumns(back | {"reverted": worse}).drop("_original")

@@ -118,45 +118,89 @@ _simple("kw_multiple_of", "lineitem", _LINE, "l_extendedprice", {"multipleOf": 0
 _simple("kw_min_length", "documents", "doc_id", "text", {"minLength": 200}, "minLength", "length(text) < 200")
 _simple("kw_max_length", "documents", "doc_id", "text", {"maxLength": 5000}, "maxLength", "length(text) > 5000")
 _simple("kw_pattern", "part", "p_partkey", "p_brand", {"pattern": "^Brand#[1-3]"}, "pattern", "NOT regexp_matches(p_brand, '^Brand#[1-3]')")
-_simple("kw_format_uri", "documents", "doc_id", "source", {"format": "uri"}, "format", "NOT regexp_matches(source, '^[A-Za-z][A-Za-z0-9+.-]*:[^\\s]+$')")
-_simple("kw_format_email", "customer", "c_custkey", "c_name", {"format": "email"}, "format", "NOT regexp_matches(c_name, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')")
-_simple("kw_format_datetime", "events", "event_id", "ts", {"format": "date-time"}, "format", "NOT regexp_matches(CAST(ts AS VARCHAR), '^\\d{4}-\\d{2}-\\d{2}[Tt ]\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?([Zz]|[+-]\\d{2}:\\d{2})?$')", prepare=lambda d: d.withColumn("ts", F.col("ts").cast("string")))
+_MAIL = "CASE WHEN c_nationkey > 12 THEN c_name || '@example.test' ELSE c_name END"
+_simple("kw_format_email", "customer", "c_custkey", "mail", {"format": "email"}, "format", f"NOT regexp_matches({_MAIL}, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')", prepare=lambda d: d.withColumn("mail", F.expr(_MAIL)))
+_LINK = "CASE WHEN length(url) > 40 THEN url ELSE replace(url, ':', ' ') END"
+_simple("kw_format_uri", "pages", "page_id", "link", {"format": "uri"}, "format", f"NOT regexp_matches({_LINK}, '^[A-Za-z][A-Za-z0-9+.-]*:[^\\s]+$')", prepare=lambda d: d.withColumn("link", F.expr(_LINK)))
+_STAMP = "CASE WHEN value > 250 THEN substring(CAST(ts AS {t}), 1, 10) ELSE CAST(ts AS {t}) END"
+_simple("kw_format_datetime", "events", "event_id", "stamp", {"format": "date-time"}, "format", f"NOT regexp_matches({_STAMP.format(t='VARCHAR')}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[Tt ]\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?([Zz]|[+-]\\d{{2}}:\\d{{2}})?$')", prepare=lambda d: d.withColumn("stamp", F.expr(_STAMP.format(t="STRING"))))
 _simple("kw_enum", "orders", "o_orderkey", "o_orderstatus", {"enum": ["F", "O"]}, "enum", "o_orderstatus NOT IN ('F', 'O')")
 _simple("kw_const", "lineitem", _LINE, "l_linestatus", {"const": "O"}, "const", "l_linestatus <> 'O'")
 _simple("kw_type_integer", "lineitem", _LINE, "l_extendedprice", {"type": "integer"}, "type", "l_extendedprice <> floor(l_extendedprice)")
-_simple("kw_all_of", "lineitem", _LINE, "l_quantity", {"allOf": [{"minimum": 5}, {"maximum": 45}]}, "allOf", "NOT (l_quantity >= 5 AND l_quantity <= 45)")
+_keyword("kw_all_of", "lineitem", _LINE, _one("l_quantity", {"allOf": [{"minimum": 5}, {"maximum": 45}]}), [("minimum", "#/properties/l_quantity/allOf/0/minimum", "/l_quantity", "l_quantity < 5"), ("maximum", "#/properties/l_quantity/allOf/1/maximum", "/l_quantity", "l_quantity > 45")])
 _simple("kw_any_of", "lineitem", _LINE, "l_quantity", {"anyOf": [{"maximum": 5}, {"minimum": 45}]}, "anyOf", "NOT (l_quantity <= 5 OR l_quantity >= 45)")
 _simple("kw_one_of", "lineitem", _LINE, "l_quantity", {"oneOf": [{"maximum": 30}, {"minimum": 20}]}, "oneOf", "(l_quantity <= 30)::INT + (l_quantity >= 20)::INT <> 1")
 _simple("kw_not", "lineitem", _LINE, "l_quantity", {"not": {"minimum": 45}}, "not", "l_quantity >= 45")
-_simple("kw_min_items", "embeddings", "vec_id", "embedding", {"minItems": 65}, "minItems", "len(embedding) < 65")
-_simple("kw_max_items", "embeddings", "vec_id", "embedding", {"maxItems": 63}, "maxItems", "len(embedding) > 63")
-_simple("kw_unique_items", "embeddings", "vec_id", "embedding", {"uniqueItems": True}, "uniqueItems", "len(list_distinct(embedding)) <> len(embedding)")
+_POSITIVE = "len(list_filter(embedding, lambda x: x > 0))"
+_positive = lambda d: d.withColumn("positive", F.filter("embedding", lambda x: x > 0))
+_simple("kw_min_items", "embeddings", "vec_id", "positive", {"minItems": 30}, "minItems", f"{_POSITIVE} < 30", prepare=_positive)
+_simple("kw_max_items", "embeddings", "vec_id", "positive", {"maxItems": 35}, "maxItems", f"{_POSITIVE} > 35", prepare=_positive)
+_simple("kw_unique_items", "embeddings", "vec_id", "doubled", {"uniqueItems": True}, "uniqueItems", "embedding[1] > 0 OR len(list_distinct(embedding)) <> len(embedding)", prepare=lambda d: d.withColumn("doubled", F.when(F.get("embedding", 0) > 0, F.concat("embedding", F.slice("embedding", 1, 1))).otherwise(F.col("embedding"))))
 _simple("kw_contains_bag", "embeddings", "vec_id", "embedding", {"contains": {"minimum": 0.25}, "minContains": 2, "maxContains": 4}, "contains", "len(list_filter(embedding, lambda x: x >= 0.25)) NOT BETWEEN 2 AND 4")
-_simple("kw_items", "embeddings", "vec_id", "embedding", {"items": {"maximum": 0.3}}, "items", "len(list_filter(embedding, lambda x: x > 0.3)) > 0")
-_keyword(
-    "kw_prefix_items",
-    "embeddings",
-    "vec_id",
-    _one("embedding", {"prefixItems": [{"minimum": 0}, {"maximum": 0.1}]}),
-    [("prefixItems", "#/properties/embedding/prefixItems/0", "/embedding", "embedding[1] < 0"), ("prefixItems", "#/properties/embedding/prefixItems/1", "/embedding", "embedding[2] > 0.1")],
-)
+
+
+def _below(name: str, schema: dict, rows: list[tuple[str, str, str, str]], prefix: int = 0) -> None:
+    """A query for violations at array items. rows: (keyword, schema path, instance path as SQL of i from 0, condition on x and i)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.violations(table(spark, sf_dir, "embeddings"), _one("embedding", schema), ["vec_id"])
+
+    QUERIES[name] = run
+    source = "(SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+    SQL[name] = " UNION ALL ".join(f"SELECT vec_id, '{k}' AS keyword, '#/properties/embedding/{p}' AS schema_path, '/embedding/' || i AS instance_path FROM {source} WHERE {c}" for k, p, _, c in rows)
+
+
+_below("kw_items", {"items": {"maximum": 0.3, "not": {"maximum": -0.3}}}, [("maximum", "items/maximum", "i", "x > 0.3"), ("not", "items/not", "i", "x <= -0.3")])
+_below("kw_prefix_items", {"prefixItems": [{"minimum": 0}, {"maximum": 0.1}], "items": {"maximum": 0.35}}, [("minimum", "prefixItems/0/minimum", "i", "i = 0 AND x < 0"), ("maximum", "prefixItems/1/maximum", "i", "i = 1 AND x > 0.1"), ("maximum", "items/maximum", "i", "i > 1 AND x > 0.35")])
+
+
+# An event as a map: `kind` always, `amount` where the value is high, `x_user` where the user's number is.
+_HIGH, _USER = "value > 250", "user_id > 6"
 
 
 def _props(df: DataFrame) -> DataFrame:
-    return df.withColumn("props", F.from_json("props", "map<string,string>"))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    entries = F.array(entry("kind", F.col("event_type")), F.when(F.expr(_HIGH), entry("amount", F.lit("high"))), F.when(F.expr(_USER), entry("x_user", F.col("user_id"))))
+    return df.withColumn("props", F.map_from_entries(F.array_compact(entries)))
+
 
+def _event_row(df: DataFrame) -> DataFrame:
+    """The same as a row: what isn't there is null."""
+    return df.select("event_id", F.col("event_type").alias("kind"), F.when(F.expr(_HIGH), F.col("value")).alias("amount"), F.when(F.expr(_USER), F.col("user_id")).alias("x_user"))
 
-_simple("kw_property_names", "events", "event_id", "props", {"propertyNames": {"pattern": "^x"}}, "propertyNames", "len(list_filter(json_keys(props), lambda k: NOT regexp_matches(k, '^x'))) > 0", prepare=_props)
-_simple("kw_additional_properties", "events", "event_id", "props", {"properties": {"a": {}}, "additionalProperties": False}, "additionalProperties", "len(list_filter(json_keys(props), lambda k: k <> 'a')) > 0", prepare=_props)
-_simple("kw_min_properties", "events", "event_id", "props", {"minProperties": 2}, "minProperties", "len(json_keys(props)) < 2", prepare=_props)
-_simple("kw_max_properties", "events", "event_id", "props", {"maxProperties": 0}, "maxProperties", "len(json_keys(props)) > 0", prepare=_props)
-_keyword("kw_required", "events", "event_id", _one("props", {"required": ["k", "j"]}), [("required", "#/properties/props/required", "/props/j", "NOT list_contains(json_keys(props), 'j')"), ("required", "#/properties/props/required", "/props/k", "NOT list_contains(json_keys(props), 'k')")], prepare=_props)
+
+_HIGH_BAD, _USER_BAD = f"({_HIGH})", f"({_USER})"
+_keyword("kw_property_names", "events", "event_id", _one("props", {"propertyNames": {"pattern": "^[ak]"}}), [("propertyNames", "#/properties/props/propertyNames", "/props/x_user", _USER_BAD)], prepare=_props)
+_keyword("kw_additional_properties", "events", "event_id", _one("props", {"properties": {"kind": {}}, "patternProperties": {"^x_": {"pattern": "^[0-8]"}}, "additionalProperties": False}), [("pattern", "#/properties/props/patternProperties/^x_/pattern", "/props/x_user", f"{_USER_BAD} AND user_id::VARCHAR LIKE '9%'"), ("additionalProperties", "#/properties/props/additionalProperties", "/props/amount", _HIGH_BAD)], prepare=_props)
+_keyword("kw_additional_schema", "events", "event_id", _one("props", {"properties": {"kind": {}}, "additionalProperties": {"minLength": 2}}), [("minLength", "#/properties/props/additionalProperties/minLength", "/props/x_user", f"{_USER_BAD} AND length(user_id::VARCHAR) < 2")], prepare=_props)
+_N_PROPS = f"1 + {_HIGH_BAD}::INT + {_USER_BAD}::INT"
+_simple("kw_min_properties", "events", "event_id", "props", {"minProperties": 2}, "minProperties", f"{_N_PROPS} < 2", prepare=_props)
+_simple("kw_max_properties", "events", "event_id", "props", {"maxProperties": 2}, "maxProperties", f"{_N_PROPS} > 2", prepare=_props)
+_keyword("kw_required", "events", "event_id", _one("props", {"required": ["kind", "x_user"]}), [("required", "#/properties/props/required", "/props/x_user", f"NOT {_USER_BAD}")], prepare=_props)
+_keyword(
+    "kw_root_properties",
+    "events",
+    "event_id",
+    {"minProperties": 3, "maxProperties": 3, "propertyNames": {"maxLength": 8, "pattern": "^[eak]"}, "properties": {"event_id": {}, "kind": {}}, "patternProperties": {"^am": {"maximum": 400}}, "additionalProperties": False},
+    [
+        ("minProperties", "#/minProperties", "", f"1 + {_N_PROPS} < 3"),
+        ("maxProperties", "#/maxProperties", "", f"1 + {_N_PROPS} > 3"),
+        ("propertyNames", "#/propertyNames", "/x_user", _USER_BAD),
+        ("maximum", "#/patternProperties/^am/maximum", "/amount", "value > 400"),
+        ("additionalProperties", "#/additionalProperties", "/x_user", _USER_BAD),
+    ],
+    prepare=_event_row,
+)
 _keyword(
     "kw_if_then_else",
     "events",
     "event_id",
     {k: EVENTS[k] for k in ("type", "if", "then", "else")},
-    [("if", "#/if", "", "CASE WHEN event_type = 'purchase' THEN value < 10 ELSE value > 490 END")],
+    [
+        ("minimum", "#/then/properties/value/minimum", "/value", "event_type = 'purchase' AND value < 10"),
+        ("maximum", "#/else/properties/value/maximum", "/value", "event_type <> 'purchase' AND value > 490"),
+        ("if", "#/if", "", "CASE WHEN event_type = 'purchase' THEN value < 10 ELSE value > 490 END"),
+    ],
 )
 _keyword(
     "kw_dependent_required",
@@ -170,8 +214,8 @@ _keyword(
     "kw_dependent_schemas",
     "events",
     "event_id",
-    {"dependentSchemas": {"amount": {"properties": {"user_id": {"maximum": 75}}}}},
-    [("dependentSchemas", "#/dependentSchemas/amount", "", "value > 100 AND user_id > 75")],
+    {"dependentSchemas": {"amount": {"properties": {"user_id": {"maximum": 7}}}}},
+    [("maximum", "#/dependentSchemas/amount/properties/user_id/maximum", "/user_id", "value > 100 AND user_id > 7")],
     prepare=lambda d: d.select("event_id", "user_id", F.when(F.col("value") > 100, F.col("value")).alias("amount")),
 )
 
@@ -207,16 +251,42 @@ def violations_topk(spark, sf_dir):
     return P.violations(table(spark, sf_dir, "orders"), ORDERS, ["o_orderkey"]).select("o_orderkey", "keyword", "schema_path").orderBy("o_orderkey", "schema_path").limit(100)
 
 
-@query("oracle_harness", "SELECT 0::BIGINT AS disagreements, count(*) AS n FROM events")
+#: Contracts for which the compiled predicates must find what the generic validator finds, on rows of `_event_row` with tags and a place.
+PARITY = [
+    EVENTS,
+    {"additionalProperties": False, "properties": {"event_id": {}, "kind": {}, "tags": {}, "place": {}}},
+    {"maxProperties": 4, "minProperties": 4},
+    {"propertyNames": {"enum": ["event_id", "kind", "amount", "tags", "place"]}},
+    {"patternProperties": {"^[ax]": {"exclusiveMaximum": 300}}, "additionalProperties": {"not": {"const": "click"}}, "properties": {"event_id": {}}},
+    {"allOf": [{"properties": {"amount": {"maximum": 300}}}, {"required": ["amount", "x_user"]}]},
+    {"anyOf": [{"required": ["amount"]}, {"required": ["x_user"]}], "oneOf": [{"required": ["amount"]}, {"properties": {"kind": {"enum": ["view", "click"]}}}]},
+    {"properties": {"tags": {"items": {"minLength": 5, "enum": ["click", "view", "refund", "5", "50"]}, "maxItems": 2, "uniqueItems": True}}},
+    {"properties": {"tags": {"prefixItems": [{"const": "view"}, {"pattern": "^[0-4]"}], "items": False, "contains": {"maxLength": 1}}}},
+    {"properties": {"place": {"required": ["user"], "properties": {"user": {"multipleOf": 3}}, "additionalProperties": {"maxLength": 5}}}},
+    {"dependentRequired": {"amount": ["x_user"]}, "dependentSchemas": {"x_user": {"properties": {"kind": {"enum": ["view"]}}, "required": ["amount"]}}},
+    {"if": {"required": ["amount"]}, "then": {"properties": {"amount": {"multipleOf": 1}}, "maxProperties": 4}, "else": {"allOf": [{"properties": {"tags": {"items": {"maxLength": 5}}}}]}},
+    {"not": {"properties": {"kind": {"const": "view"}}}, "properties": {"amount": {"type": "integer"}, "x_user": {"type": ["string", "integer"], "maximum": 80}, "kind": {"type": "string", "maxLength": 4}}},
+]
+
+
+@query("oracle_harness", " UNION ALL ".join(f"SELECT {k}::BIGINT AS contract, 0::BIGINT AS disagreements, count(*) AS n FROM events" for k in range(len(PARITY))))
 def oracle_harness(spark, sf_dir):
-    """Compiled predicates against the generic validator, row by row."""
+    """Compiled predicates against the generic validator: the whole sets of errors of each row, contract by contract."""
     from .operators.documents import validate_documents
 
-    df = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id")
-    docs = df.select("event_id", F.to_json(F.struct("*")).alias("doc"))
-    a = P.validate(df, EVENTS).select("event_id", "valid")
-    b = validate_documents(docs, EVENTS, ["event_id"]).select("event_id", F.col("valid").alias("valid_b"))
-    return a.join(b, "event_id").agg(F.count_if(F.col("valid") != F.col("valid_b")).alias("disagreements"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "events")
+    plain = e.select("event_id", "event_type", "value", "user_id")
+    parts = _event_row(e).join(e.select("event_id", F.when(F.expr("value < 480"), F.array("event_type", F.col("user_id").cast("string"), "event_type")).otherwise(F.array("event_type")).alias("tags"), F.struct(F.when(F.expr("user_id < 90"), F.col("user_id")).alias("user"), F.col("event_type").alias("what")).alias("place")), "event_id")
+    out = None
+    for k, contract in enumerate(PARITY):
+        df = plain if contract is EVENTS else parts
+        docs = df.select("event_id", F.to_json(F.struct("*")).alias("doc"))
+        a = P.validate(df, contract).select("event_id", F.array_sort(F.array_distinct("errors")).alias("a"), F.col("valid").alias("va"))
+        b = validate_documents(docs, contract, ["event_id"], formats=True).select("event_id", F.array_sort(F.array_distinct("errors")).alias("b"), F.col("valid").alias("vb"))
+        one = a.join(b, "event_id").agg(F.count_if((F.col("a") != F.col("b")) | (F.col("va") != F.col("vb"))).alias("disagreements"), F.count("*").alias("n"))
+        one = one.select(F.lit(k).cast("long").alias("contract"), "disagreements", "n")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 # --- repair ------------------------------------------------------------------------------------------------------
@@ -261,11 +331,21 @@ def repair_unique_items(spark, sf_dir):
     return R.repair(bags, _one("q", {"uniqueItems": True})).select("o_orderkey", F.col("q").alias("repaired"))
 
 
-@query("repair_remove_additional", "SELECT event_id, len(list_filter(json_keys(props), lambda k: k = 'k')) AS kept, len(list_filter(json_keys(props), lambda k: k <> 'k')) AS removed FROM events")
+@query("repair_remove_additional", f"SELECT event_id, ['kind'] || CASE WHEN {_USER_BAD} THEN ['x_user'] ELSE [] END AS kept, {_HIGH_BAD}::BIGINT AS actions FROM events")
 def repair_remove_additional(spark, sf_dir):
-    p = _props(table(spark, sf_dir, "events"))
-    kept = F.map_filter("props", lambda k, _: k == "k")
-    return p.select("event_id", F.size(kept).cast("long").alias("kept"), (F.size("props") - F.size(kept)).cast("long").alias("removed"))
+    out = R.repair(_props(table(spark, sf_dir, "events")).select("event_id", "props"), _one("props", {"properties": {"kind": {}}, "patternProperties": {"^x_": {}}, "additionalProperties": False}))
+    return out.select("event_id", F.sort_array(F.map_keys("props")).alias("kept"), F.size("actions").cast("long").alias("actions"))
+
+
+_repair("repair_type", "lineitem", _LINE, "l_discount", {"type": "integer"}, "CASE WHEN l_discount = floor(l_discount) THEN l_discount ELSE 0 END")
+_repair("repair_max_contains", "embeddings", "vec_id", "embedding", {"contains": {"minimum": 0.1}, "minContains": 0, "maxContains": 3}, "list_filter(embedding, lambda x, i: NOT x >= 0.1 OR len(list_filter(embedding[1:i], lambda y: y >= 0.1)) <= 3)")
+
+
+@query("repair_nested", "SELECT event_id, least(value, 100) AS value, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'click' END AS kind, (value > 100)::BIGINT + (event_type NOT IN ('click', 'view'))::BIGINT AS actions FROM events")
+def repair_nested(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.struct("value", F.struct(F.col("event_type").alias("kind")).alias("what")).alias("body"))
+    contract = _one("body", {"properties": {"value": {"maximum": 100}, "what": {"properties": {"kind": {"enum": ["click", "view"]}}}}})
+    return R.repair(e, contract).select("event_id", "body.value", "body.what.kind", F.size("actions").cast("long").alias("actions"))
 
 
 _REPAIRED = {"type": "object", "properties": {"l_quantity": {"minimum": 5, "exclusiveMaximum": 50}, "l_discount": {"maximum": 0.08}}}
@@ -305,29 +385,41 @@ COVERED = {
 }
 
 
-def _targets_sql(cond: dict[str, str] | None = None) -> str:
-    rows = []
-    for t in C.analyze(COVERED):
-        rows.append(f"('{t['id']}', '{t['dimension']}', '{t['kind']}', '{t['canon_path']}', '{t['params_key']}', 'active', 1.0::DOUBLE)")
-    return f"(SELECT * FROM (VALUES {', '.join(rows)}) t(id, dimension, kind, canon_path, params_key, status, weight))"
+#: The targets of COVERED, written out: dimension, kind, path, parameters as canonical JSON, and the rows that hit them.
+_TARGETS = [
+    ("structure", "SCHEMA_NODE", "#", "", "true"),
+    ("structure", "SCHEMA_NODE", "#/properties/event_id", "", "event_id IS NOT NULL"),
+    ("boundaries", "NUMERIC_MIN_HIT", "#/properties/event_id", '{"boundaryKind":"minimum","boundaryValue":0}', "event_id = 0"),
+    ("structure", "PROPERTY_PRESENT", "#/properties/event_type", '{"propertyName":"event_type"}', "event_type IS NOT NULL"),
+    ("structure", "SCHEMA_NODE", "#/properties/event_type", "", "event_type IS NOT NULL"),
+    ("enum", "ENUM_VALUE_HIT", "#/properties/event_type", '{"enumIndex":0,"enumValue":"click"}', "event_type = 'click'"),
+    ("enum", "ENUM_VALUE_HIT", "#/properties/event_type", '{"enumIndex":1,"enumValue":"view"}', "event_type = 'view'"),
+    ("enum", "ENUM_VALUE_HIT", "#/properties/event_type", '{"enumIndex":2,"enumValue":"purchase"}', "event_type = 'purchase'"),
+    ("enum", "ENUM_VALUE_HIT", "#/properties/event_type", '{"enumIndex":3,"enumValue":"refund"}', "event_type = 'refund'"),
+    ("structure", "PROPERTY_PRESENT", "#/properties/user_id", '{"propertyName":"user_id"}', "user_id IS NOT NULL"),
+    ("structure", "SCHEMA_NODE", "#/properties/user_id", "", "user_id IS NOT NULL"),
+    ("branches", "ANYOF_BRANCH", "#/properties/user_id/anyOf/0", '{"index":0}', "user_id <= 50"),
+    ("structure", "SCHEMA_NODE", "#/properties/user_id/anyOf/0", "", "false"),
+    ("boundaries", "NUMERIC_MAX_HIT", "#/properties/user_id/anyOf/0", '{"boundaryKind":"maximum","boundaryValue":50}', "false"),
+    ("branches", "ANYOF_BRANCH", "#/properties/user_id/anyOf/1", '{"index":1}', "user_id >= 1000"),
+    ("structure", "SCHEMA_NODE", "#/properties/user_id/anyOf/1", "", "false"),
+    ("boundaries", "NUMERIC_MIN_HIT", "#/properties/user_id/anyOf/1", '{"boundaryKind":"minimum","boundaryValue":1000}', "false"),
+]
+_ID = """'cov:0:1:' || sha256('{"canonPath":"' || canon_path || '","dimension":"' || dimension || '","engineMajor":0,"kind":"' || kind || '","operationKey":null,"params":' || CASE WHEN params_key = '' THEN 'null' ELSE params_key END || ',"reportMajor":1,"v":1}')"""
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
-def _hit_condition(t: dict) -> str:
-    path, p = t["canon_path"].split("/"), t["params"] or {}
-    column = path[2] if len(path) > 2 else None
-    if t["kind"] == "ENUM_VALUE_HIT":
-        return f"event_type = '{p['enumValue']}'"
-    if t["dimension"] == "boundaries" and len(path) == 3:
-        return f"{column} = {p['boundaryValue']}"
-    if t["kind"] == "ANYOF_BRANCH":
-        return "user_id <= 50" if p["index"] == 0 else "user_id >= 1000"
-    if len(path) <= 3:
-        return f"{column} IS NOT NULL" if column else "true"
-    return "false"
+def _targets_sql(written: list[tuple[str, str, str, str, str]] = _TARGETS) -> str:
+    rows = ", ".join(f"({', '.join(map(_text, t[:4]))}, 'active', 1.0::DOUBLE)" for t in written)
+    return f"(SELECT {_ID} AS id, * FROM (VALUES {rows}) t(dimension, kind, canon_path, params_key, status, weight))"
 
 
-def _hits_sql(where: str = "true") -> str:
-    return " UNION ALL ".join(f"SELECT '{t['id']}' AS id, count(*) FILTER (WHERE ({where}) AND ({_hit_condition(t)})) AS n FROM events" for t in C.analyze(COVERED))
+def _hits_sql(where: str = "true", written: list[tuple[str, str, str, str, str]] = _TARGETS) -> str:
+    rows = " UNION ALL ".join(f"SELECT {', '.join(f'{_text(v)} AS {c}' for v, c in zip(t, ('dimension', 'kind', 'canon_path', 'params_key')))}, count(*) FILTER (WHERE ({where}) AND ({t[4]})) AS n FROM events" for t in written)
+    return f"SELECT {_ID} AS id, n FROM ({rows})"
 
 
 def _covered_sql(where: str = "true") -> str:
@@ -390,9 +482,16 @@ def coverage_planner_caps(spark, sf_dir):
     return C.dimension_cap(C.targets(spark, COVERED), 2).select("id", "dimension", "position")
 
 
-@query("coverage_plan_units", f"SELECT position - 1 AS unit, id, dimension, kind, canon_path, CASE WHEN kind = 'PROPERTY_PRESENT' THEN 'ensurePropertyPresence' WHEN kind LIKE '%\\_BRANCH' ESCAPE '\\' THEN 'preferBranch' WHEN kind = 'ENUM_VALUE_HIT' THEN 'coverEnumValue' END AS hint FROM (SELECT *, {_POSITION} AS position FROM {_targets_sql()}) WHERE position <= 8")
+_UNIT = f"SELECT *, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('tu-' || (position - 1) || '|' || canon_path, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS f FROM (SELECT *, {_POSITION} AS position FROM {_targets_sql()}) WHERE position <= 8"
+
+
+@query(
+    "coverage_plan_units",
+    f"""SELECT position - 1 AS unit, id, dimension, kind, canon_path, CASE WHEN kind = 'PROPERTY_PRESENT' THEN 'ensurePropertyPresence' WHEN kind LIKE '%\\_BRANCH' ESCAPE '\\' THEN 'preferBranch' WHEN kind = 'ENUM_VALUE_HIT' THEN 'coverEnumValue' END AS hint,
+        xor(b, (b << 5) & 4294967295) AS seed FROM (SELECT *, xor(a, a >> 17) AS b FROM (SELECT *, xor(x, (x << 13) & 4294967295) AS a FROM (SELECT *, xor(f, 424242) AS x FROM ({_UNIT}))))""",
+)
 def coverage_plan_units(spark, sf_dir):
-    return C.plan_units(C.targets(spark, COVERED), 8, 424242).drop("seed")
+    return C.plan_units(C.targets(spark, COVERED), 8, 424242)
 
 
 _HALVES = ("event_id % 2 = 0 AND user_id > 50", "event_id % 2 = 1 AND event_type <> 'click'")
@@ -431,7 +530,7 @@ def unsat_prefix_unreachable(spark, sf_dir):
     return C.mark_unreachable(C.targets(spark, COVERED), paths).select("id", "status")
 
 
-_EDGES = "SELECT DISTINCT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT DISTINCT 'n' || c_nationkey, 's' || c_mktsegment FROM customer WHERE c_custkey % 7 = 0"
+_EDGES = "SELECT DISTINCT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT DISTINCT 'n' || c_nationkey, 's' || c_mktsegment FROM customer"
 _ROOTS = "SELECT r_name AS operation, 'r' || r_regionkey AS node FROM region"
 _REACH = f"WITH RECURSIVE e AS ({_EDGES}), reach AS (SELECT operation, node FROM ({_ROOTS}) UNION SELECT r.operation, e.dst FROM reach r JOIN e ON r.node = e.src)"
 
@@ -439,7 +538,7 @@ _REACH = f"WITH RECURSIVE e AS ({_EDGES}), reach AS (SELECT operation, node FROM
 def _reach(spark, sf_dir):
     n, c, r = (table(spark, sf_dir, x) for x in ("nation", "customer", "region"))
     edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).union(
-        c.where("c_custkey % 7 = 0").select(F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("s"), "c_mktsegment"))
+        c.select(F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("s"), "c_mktsegment"))
     )
     return C.reachability(edges.distinct(), r.select(F.col("r_name").alias("operation"), F.concat(F.lit("r"), "r_regionkey").alias("node")))
 
@@ -476,34 +575,39 @@ def rng_xorshift(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", H.xorshift_col(start).alias("x"))
 
 
-_B36 = "list_aggregate(list_transform(range({w} - 1, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + (c_custkey // (36 ** i)::BIGINT % 36)::BIGINT, 1)), 'string_agg', '')"
+def _states(kind: str, rows: str, key: str, seed: int = H.DEFAULT_SEED) -> str:
+    """CTEs: s(key, x0 to x4), a generator's first states for each row's index."""
+    h = f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('format:{kind}:' || {key}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+    out = f"WITH s0 AS (SELECT {key}, xor({h}, {seed}::BIGINT) AS x0 FROM {rows})"
+    for k in range(4):
+        had, x = "".join(f", x{i}" for i in range(k + 1)), f"x{k}"
+        out += f", a{k} AS (SELECT {key}{had}, xor({x}, ({x} << 13) & 4294967295) AS y FROM s{k}), b{k} AS (SELECT {key}{had}, xor(y, y >> 17) AS y FROM a{k}), s{k + 1} AS (SELECT {key}{had}, xor(y, (y << 5) & 4294967295) AS x{k + 1} FROM b{k})"
+    return out
 
 
-@query("generate_email", f"SELECT c_custkey, 'user.' || {_B36.format(w=6)} || '@example.test' AS email FROM customer")
-def generate_email(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", H.email_col(F.col("c_custkey")).alias("email"))
+_B36 = "(CASE WHEN x1 >= 2176782336 THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + (x1 // 2176782336)::INT, 1) ELSE '' END || list_aggregate(list_transform(range(5, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + (x1 // (36 ** i)::BIGINT % 36)::BIGINT, 1)), 'string_agg', ''))"
+_HEX = "list_aggregate(list_transform([x1, x2, x3, x4], lambda x: substr(format('{:08x}', x), 7, 2) || substr(format('{:08x}', x), 5, 2) || substr(format('{:08x}', x), 3, 2) || substr(format('{:08x}', x), 1, 2)), 'string_agg', '')"
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21)"
 
 
-@query("generate_uri", f"SELECT c_custkey, 'https://example.test/resource/' || CASE WHEN c_custkey = 0 THEN '0' ELSE ltrim({_B36.format(w=6)}, '0') END AS uri FROM customer")
-def generate_uri(spark, sf_dir):
-    c = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://example.test/resource/"), F.lower(F.conv(c.cast("string"), 10, 36))).alias("uri"))
-
+def _format(name: str, kind: str, column: str, value: str, source: str = "s4") -> None:
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "customer").select("c_custkey", H.format_col(kind, F.col("c_custkey"), H.DEFAULT_SEED).alias(column))
 
-@query("generate_datetime", "SELECT c_custkey, strftime(to_timestamp(1704067200 + (c_custkey % 365) * 86400 + c_custkey % 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '.000Z' AS stamp FROM customer")
-def generate_datetime(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", H.date_time_col(F.col("c_custkey")).alias("stamp"))
+    QUERIES[name] = run
+    SQL[name] = f"{_states(kind, 'customer', 'c_custkey')} SELECT c_custkey, {value} AS {column} FROM {source}"
 
 
-@query("generate_uuid", None)
-def generate_uuid(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", H.uuid_col(F.col("c_custkey").bitwiseXOR(F.lit(H.DEFAULT_SEED).cast("long"))).alias("uuid"))
+_format("generate_email", "email", "email", f"'user.' || {_B36} || '@example.test'")
+_format("generate_uri", "uri", "uri", f"'https://example.test/resource/' || {_B36}")
+_format("generate_datetime", "date-time", "stamp", "strftime(to_timestamp(1704067200 + (x1 % 365) * 86400 + x2 % 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '.000Z'")
+_format("generate_uuid", "uuid", "uuid", _UUID, f"(SELECT c_custkey, {_HEX} AS h FROM s4)")
 
 
 @query("structural_hash", "SELECT c_custkey, sha256('{\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || ',\"segment\":\"' || c_mktsegment || '\"}') AS h FROM customer")
 def structural_hash(spark, sf_dir):
-    text = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(text, 256).alias("h"))
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", H.structural_hash_col(segment=F.col("c_mktsegment"), nation=F.col("c_nationkey"), name=F.col("c_name")).alias("h"))
 
 
 # --- planning, reports -------------------------------------------------------------------------------------------
@@ -622,11 +726,11 @@ def repair_documents_query(spark, sf_dir):
 GENERATED = {"type": "object", "required": ["mail", "size"], "properties": {"mail": {"type": "string", "format": "email"}, "size": {"type": "integer", "minimum": 3, "multipleOf": 5}, "kind": {"enum": ["b", "a"]}}, "minProperties": 3}
 
 
-@query("generate_instances", "SELECT i AS instance_id, '{\"mail\":\"user.' || lpad(i::VARCHAR, 6, '0') || '@example.test\",\"size\":5,\"kind\":\"b\"}' AS doc FROM range(10) t(i)")
+@query("generate_instances", f"{_states('email', '(SELECT i FROM range(1000) t(i))', 'i')} SELECT i AS instance_id, '{{\"mail\":\"user.' || {_B36} || '@example.test\",\"size\":5,\"kind\":\"b\"}}' AS doc FROM s4")
 def generate_instances(spark, sf_dir):
     from .operators.generate import generate
 
-    return generate(spark, GENERATED, 10)
+    return generate(spark, GENERATED, 1000)
 
 
 @query("generate_valid_rate", "SELECT 100::BIGINT AS n, 100::BIGINT AS valid")
@@ -640,23 +744,40 @@ def generate_valid_rate(spark, sf_dir):
 
 
 _VALID_EVENT = " AND ".join(f"NOT ({c})" for c in _EVENT_BAD.values())
-_EVENT_TARGETS = [("structure", "SCHEMA_NODE", "#", None, "true"), *[("enum", "ENUM_VALUE_HIT", "#/properties/event_type", {"enumIndex": i, "enumValue": v}, f"event_type = '{v}'") for i, v in enumerate(EVENTS["properties"]["event_type"]["enum"])]]
+#: The targets of EVENTS that rows can hit, written out as those of COVERED are.
+_EVENT_TARGETS = [
+    ("structure", "SCHEMA_NODE", "#", "", "true"),
+    ("structure", "SCHEMA_NODE", "#/properties/event_id", "", "event_id IS NOT NULL"),
+    ("structure", "SCHEMA_NODE", "#/properties/event_type", "", "event_type IS NOT NULL"),
+    *[("enum", "ENUM_VALUE_HIT", "#/properties/event_type", f'{{"enumIndex":{i},"enumValue":"{v}"}}', f"event_type = '{v}'") for i, v in enumerate(("click", "view", "purchase", "refund"))],
+    ("structure", "PROPERTY_PRESENT", "#/properties/value", '{"propertyName":"value"}', "value IS NOT NULL"),
+    ("structure", "SCHEMA_NODE", "#/properties/value", "", "value IS NOT NULL"),
+    ("boundaries", "NUMERIC_MIN_HIT", "#/properties/value", '{"boundaryKind":"minimum","boundaryValue":1}', "value = 1"),
+    ("boundaries", "NUMERIC_MAX_HIT", "#/properties/value", '{"boundaryKind":"maximum","boundaryValue":400}', "value = 400"),
+    ("structure", "PROPERTY_PRESENT", "#/properties/user_id", '{"propertyName":"user_id"}', "user_id IS NOT NULL"),
+    ("structure", "SCHEMA_NODE", "#/properties/user_id", "", "user_id IS NOT NULL"),
+    ("branches", "ANYOF_BRANCH", "#/properties/user_id/anyOf/0", '{"index":0}', "user_id <= 50"),
+    ("branches", "ANYOF_BRANCH", "#/properties/user_id/anyOf/1", '{"index":1}', "user_id >= 100"),
+    ("branches", "CONDITIONAL_PATH", "#", '{"pathKind":"IF_THEN"}', "event_type = 'purchase'"),
+    ("branches", "CONDITIONAL_PATH", "#", '{"pathKind":"IF_ELSE"}', "event_type <> 'purchase'"),
+]
 
 
-@query("stream_coverage", " UNION ALL ".join(f"SELECT '{C.target_id(d, k, p, None, x)}' AS id, count(*) AS n FROM events WHERE {_VALID_EVENT} AND {c} HAVING count(*) > 0" for d, k, p, x, c in _EVENT_TARGETS))
+@query("stream_coverage", f"SELECT * FROM ({_hits_sql(_VALID_EVENT, _EVENT_TARGETS)}) WHERE n > 0")
 def stream_coverage(spark, sf_dir):
     """Hits of valid rows, accumulated by a Structured Streaming query over the events' file."""
     import uuid
 
+    from .functions.lineage import shared_path
     from .streaming.accumulate import hits_stream
 
     name = f"coverage_{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not sf_dir.endswith("/") else "*").parquet(f"{sf_dir}/event[s].parquet")
-    q = hits_stream(stream.select("event_id", "event_type", "value", "user_id"), EVENTS).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    found = hits_stream(stream.select("event_id", "event_type", "value", "user_id"), EVENTS)
+    q = found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
-    wanted = [C.target_id(d, k, p, None, x) for d, k, p, x, _ in _EVENT_TARGETS]
-    return spark.table(name).where(F.col("id").isin(*wanted))
+    return spark.table(name)
 
 
 # --- planning over a corpus of contracts -------------------------------------------------------------------------
