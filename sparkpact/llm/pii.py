@@ -16,9 +16,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import beside, kept_fields, outputs, table
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 6
@@ -79,6 +78,8 @@ _CUES = {"phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3, "card": 2, "vis
 _SPELT = re.compile(r"[A-Za-z0-9._-]+ ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]+ ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,}")
 _DOTTED = re.compile(r"[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}")
 _LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|00[0-9]{1,2}(?:[ -][0-9]{2,4}){2,4}")
+_PARTS = re.compile(r"[0-9]+(?:[ ._/-]{1,2}[0-9]+)*")
+_NUMBER = re.compile(r"\(?\+?[0-9]{2,}(?:\)?[ ./-]{0,2}\(?[0-9]{2,})*")
 _GROUPS = re.compile(r"[0-9]{4}(?:[ ._/-]+[0-9]{4}){2,3}(?:[ ._/-]+[0-9]{1,4})?")
 _TRIGGER = re.compile(r"[0-9]{3}|[\[(] ?(?:at|AT|@) ?[\])]| (?:at|AT) \S+ (?:dot|DOT) |[0-9][\[(]\.")
 
@@ -106,6 +107,28 @@ def features(span: str, tokens: int) -> tuple[str, ...]:
     return tuple(out)
 
 
+@lru_cache(1 << 14)
+def possible(span: str) -> frozenset[int]:
+    """The kinds for which a span has evidence of its own: spelt-out signs, dotted octets, a check digit, a number's length."""
+    bare = span.strip(_EDGE + ".")
+    digits, out = _digits(bare), set()
+    if _SPELT.fullmatch(bare):
+        out.add(0)
+    if _DOTTED.fullmatch(bare) and all(int(x) <= 255 for x in re.findall("[0-9]+", bare)):
+        out.add(1)
+    if 12 <= len(digits) <= 19 and _PARTS.fullmatch(bare) and luhn(digits):
+        out.add(2)
+    if 7 <= len(digits) <= 15 and _NUMBER.fullmatch(bare):
+        out.add(3)
+    return frozenset(out)
+
+
+def _found(span: str, tokens: int, before: str) -> list[str]:
+    """A span's features, those of the word before it, and that word with how many digits the span has."""
+    cue = _CUES.get(before, -1)
+    return [*features(span, tokens), f"cue={cue}", f"cue={cue}/{min(sum(map(str.isdigit, span)), 12)}"]
+
+
 class SemiMarkov:
     """Weights by (label, feature); label 0 is outside, whose segments have one token, and 1.. are KINDS."""
 
@@ -116,9 +139,10 @@ class SemiMarkov:
         """Scores of tokens i..j-1 as one segment, by label."""
         span = text[tokens[i][0] : tokens[j - 1][1]]
         before = text[slice(*tokens[i - 1])].strip(_EDGE + ".").lower() if i else ""
-        found = [*features(span, j - i), f"cue={_CUES.get(before, -1)}"]
+        found = _found(span, j - i, before)
         get = self.w.get
-        return [sum(get((y, f), 0.0) for f in found) if y or j - i == 1 else -math.inf for y in range(len(KINDS) + 1)]
+        may = possible(span)
+        return [sum(get((y, f), 0.0) for f in found) if (y - 1 in may if y else j - i == 1) else -math.inf for y in range(len(KINDS) + 1)]
 
     def lattice(self, text, tokens):
         return {(i, j): self.segment(text, tokens, i, j) for i in range(len(tokens)) for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1)}
@@ -139,7 +163,7 @@ class SemiMarkov:
         for (i, j), scores in lattice.items():
             span = text[tokens[i][0] : tokens[j - 1][1]]
             before = text[slice(*tokens[i - 1])].strip(_EDGE + ".").lower() if i else ""
-            found = [*features(span, j - i), f"cue={_CUES.get(before, -1)}"]
+            found = _found(span, j - i, before)
             for y, v in enumerate(scores):
                 if v == -math.inf:
                     continue
@@ -183,10 +207,12 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     def positive():
         kind = r.randrange(4)
         if kind == 0:
-            name, host, end = word(), word(), r.choice(("com", "org", "net"))
-            return 0, r.choice((f"{name} at {host} dot {end}", f"{name} [at] {host} [dot] {end}", f"{name} (at) {host} (dot) {end}", f"{name}[at]{host}[dot]{end}"))
+            name, host, end = word() + r.choice(("", "", f".{word()}", digits(2))), word(), r.choice(("com", "org", "net", "de", "info"))
+            at, dot = r.choice((("at", "dot"), ("AT", "DOT")))
+            return 0, r.choice((f"{name} {at} {host} {dot} {end}", f"{name} [{at}] {host} [{dot}] {end}", f"{name} ({at}) {host} ({dot}) {end}", f"{name}[{at}]{host}[{dot}]{end}", f"{name}({at}){host}({dot}){end}"))
         if kind == 1:
-            return 1, r.choice(("[.]", "(.)")).join(str(r.randint(1, 255)) for _ in range(4))
+            octet = lambda: str(r.choice((r.randint(0, 9), r.randint(10, 99), r.randint(100, 255))))
+            return 1, r.choice(("[.]", "(.)")).join(octet() for _ in range(4))
         if kind == 2:
             c = card()
             return 2, r.choice((".", "  ", "_", "/")).join(c[k : k + 4] for k in range(0, 16, 4))
@@ -194,7 +220,7 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         return 3, r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{r.randint(30, 49)} {digits(3)} {digits(4)} {digits(2)}"))
 
     def negative():
-        return r.choice((digits(4), f"{r.randint(1, 12)}:{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{digits(3)},{digits(3)}", f"password={digits(6)}ab{digits(4)}", f'"{digits(5)}fe{digits(9)}c{digits(3)}"', f"AKIA{digits(3)}QX{digits(4)}", f"{digits(r.randint(5, 24))}", f"{digits(4)} {digits(4)}", f"{digits(3)} {digits(3)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(4)}.{digits(4)}.{digits(4)}.{digits(4)}", f"{word()} at {word()} the", f"{digits(3)}-{digits(2)}"))
+        return r.choice((digits(4), f"{r.randint(1, 12)}:{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{digits(3)},{digits(3)}", f"password={digits(6)}ab{digits(4)}", f'"{digits(5)}fe{digits(9)}c{digits(3)}"', f"AKIA{digits(3)}QX{digits(4)}", f"{digits(r.randint(5, 24))}", f"{digits(4)} {digits(4)}", f"{digits(3)} {digits(3)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(4)}.{digits(4)}.{digits(4)}.{digits(4)}", f"{word()} at {word()} the", f"{digits(3)}-{digits(2)}", digits(3), f"20{digits(2)} {word()}", f"{digits(3)} {word()}", f"{digits(2)}[.]{digits(1)}", f"{word()}[at]{word()}", f"{word()} ({r.choice(('at', 'dot'))}) {digits(3)}", f"{digits(3)}.{digits(3)}", f"00{digits(2)}"))
 
     parts, gold, at = [], [], 0
     for _ in range(r.randint(1, 3)):
@@ -207,6 +233,8 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             gold.append((at + len(lead), at + len(lead) + n, kind + 1))
         else:
             s = negative()
+            if r.random() < 0.4:  # a word that often comes before personal data comes before other things too
+                lead.append(r.choice(list(_CUES)) + r.choice(("", ":")))
             if len(_digits(s)) >= 12 and luhn(_digits(s)):  # a card by chance
                 s = word()
         parts += [*lead, s + r.choice(("", "", ".", ","))]
@@ -215,7 +243,7 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 @lru_cache(4)
-def trained(sentences: int = 500, epochs: int = 4, seed: int = 11) -> SemiMarkov:
+def trained(sentences: int = 1500, epochs: int = 4, seed: int = 11) -> SemiMarkov:
     """The field, learnt from generated sentences; the same for the same arguments."""
     r, model = random.Random(seed), SemiMarkov()
     made = [_sentence(r) for _ in range(sentences)]
@@ -229,6 +257,10 @@ def trained(sentences: int = 500, epochs: int = 4, seed: int = 11) -> SemiMarkov
     return model
 
 
+_WIDEST = 200
+_PART = re.compile(r"[0-9@]|^[\[(]?(?:at|AT|dot|DOT)[\])]?$|[\[(](?:at|AT|dot|DOT)[\])]")
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov) -> list[tuple[int, int, int]]:
     """The field's spans in the text between base spans: windows of up to LONGEST tokens around what might be personal data."""
     if not _TRIGGER.search(text):
@@ -249,18 +281,21 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov)
                 windows.append([m.start(), m.end()])
         for a, b in windows:
             near = [t.span() for t in _TOKEN.finditer(text, max(low, a - 80), min(high, b + 80))]
-            near = [(s, e) for s, e in near if (s >= a - 60 or s == low) and (e <= b + 60 or e == high) and e - s <= 200]
+            near = [(s, e) for s, e in near if (s >= a - 60 or s == low) and (e <= b + 60 or e == high)]
             # runs of tokens that could belong to a span, with the word before each
-            keep = [bool(re.search(r"[0-9@]|^[\[(]?(?:at|AT|dot|DOT)[\])]?$", text[s:e])) for s, e in near]
+            # a token of more than _WIDEST characters belongs to none, and parts what is on its two sides
+            keep = [e - s <= _WIDEST and bool(_PART.search(text[s:e])) for s, e in near]
             i = 0
             while i < len(near):
                 if not keep[i]:
                     i += 1
                     continue
                 j = i
-                while j < len(near) and (keep[j] or any(keep[j + 1 : j + 2])):
+                while j < len(near) and near[j][1] - near[j][0] <= _WIDEST and (keep[j] or any(keep[j + 1 : j + 2])):
                     j += 1
-                run = near[max(0, i - 2) : min(len(near), j + 1)]
+                low_, high_ = max(0, i - 2), min(len(near), j + 1)
+                wide = [k for k in range(low_, high_) if near[k][1] - near[k][0] > _WIDEST]
+                run = near[max([low_, *(k + 1 for k in wide if k < i)]) : min([high_, *(k for k in wide if k >= j)])]
                 out += model.decode(text, run)
                 i = j
     taken, kept = [(s, e) for s, _, e in base], []
@@ -282,11 +317,15 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redact:
     """Columns `keep` with the counts of base spans by kind, base_sha256, spans (base and added), n_added.
 
     Offsets are code points, ends exclusive; spans are listed by start, then kind, then end. A null text is empty and
-    has none. redact: the column `text`, in `keep` or not, comes with each span replaced by its kind in brackets.
+    has none. Texts of any length are read whole; a token of more than 200 characters belongs to no added span. Each row
+    stands for itself: repeated rows and null ids come out as they are, an empty table gives an empty one, and a kept
+    column that has an added column's name comes out with `_input` after it.
+    redact: the column `redacted` comes too, the text with each span replaced by its kind in brackets.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained())
-    names = [*keep, *COUNTS, "base_sha256", "spans", "n_added", *(["redacted"] if redact else [])]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in COUNTS), "base_sha256 string, spans string, n_added long", *(["redacted string"] if redact else [])])
+    kept = outputs(keep, [*COUNTS, "base_sha256", "spans", "n_added", *(["redacted"] if redact else [])])
+    names = [*kept, *COUNTS, "base_sha256", "spans", "n_added", *(["redacted"] if redact else [])]
+    schema = ", ".join([*([kept_fields(docs, keep, kept)] if keep else []), *(f"{c} long" for c in COUNTS), "base_sha256 string, spans string, n_added long", *(["redacted string"] if redact else [])])
 
     def run(batches):
         for b in batches:
@@ -300,9 +339,9 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redact:
                 rows.append([*row, redacted(value, base + more)] if redact else row)
             kinds = [*[pa.int64()] * len(COUNTS), pa.string(), pa.string(), pa.int64(), pa.string()]
             columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names) - len(keep))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], names)
+            yield pa.RecordBatch.from_arrays([*(b.column(f"_k{i}") for i in range(len(keep))), *columns], names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return beside(docs, keep, _text="text").mapInArrow(run, schema)
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -323,4 +362,5 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
+    """Base spans' counts and digest, and all spans, of every document: see `personal_data`."""
     return personal_data(table(spark, sf_dir, "documents"))
