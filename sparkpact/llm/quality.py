@@ -1,8 +1,9 @@
 """Quality classifier: co-training of a text-content view and a page-metadata view.
 
-Each view has a logistic regression of its own. Over some rounds each labels the unlabelled documents it is surest of,
-for the other view to learn from; then both are calibrated on labelled rows that neither saw, and combined. Training
-reads bounded samples (`labelled` and `unlabelled` rows, parameters); scoring reads every whole text once, in place.
+Each view has a logistic regression of its own; the text's reads hashed words and surface shares. Over some rounds each
+view scores all unlabelled documents outside the held-out fold and labels the `taken` it is surest of, for the other to
+learn from; then both are calibrated on labelled rows that neither saw, and combined. Labelled rows are a bounded sample
+(`labelled`, a parameter); features of the documents that training scores are written once, as 32-bit numbers.
 """
 
 from __future__ import annotations
@@ -15,28 +16,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import Written, beside, held_out, kept_fields, outputs, table
 from .words import WordHasher, sliced, texts_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled rows of each class, and unlabelled rows, that training reads at most.
+    #: Labelled rows of each class that training reads at most.
     labelled: int = 3000
-    unlabelled: int = 6000
     rounds: int = 4
-    #: Share of the unlabelled rows that each view labels in a round.
-    share: float = 0.03
+    #: Unlabelled documents that each view labels in a round.
+    taken: int = 180
     sources: int = 64
     threshold: float = 0.5
 
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32, *range(9, 14)), "line": (10,), "stop": tuple(b".,;:!?"), "bar": tuple(b"|"), "symbol": tuple(b"#$%&*+-/<=>@\\^_`{}~()[]\"'"), "other": range(128, 256)}
-TEXT_FEATURES = len(_CLASSES) + 9
+#: Hash classes of words in the text's view.
+WORDS = 128
+TEXT_FEATURES = len(_CLASSES) + 9 + WORDS
 
 
 def text_view(texts: list[bytes | None], hasher: WordHasher) -> np.ndarray:
-    """Shares of character classes, lengths and repetition of words and lines, by text."""
+    """Shares of character classes, lengths and repetition of words and lines, and of words by hash class, by text."""
     h, offsets = hasher.batch(texts)
     out = np.zeros((len(texts), TEXT_FEATURES))
     tables = [np.isin(np.arange(256), list(c)) for c in _CLASSES.values()]
@@ -50,7 +52,8 @@ def text_view(texts: list[bytes | None], hasher: WordHasher) -> np.ndarray:
         kinds, times = np.unique(w, return_counts=True) if len(w) else (w, np.zeros(1))
         lines = t.split(b"\n")
         p = counts[counts > 0] / n
-        out[k, len(tables) :] = [
+        out[k, -WORDS:] = np.sqrt(np.bincount((w >> np.uint64(57)).astype(np.int64), minlength=WORDS) / m)
+        out[k, len(tables) : -WORDS] = [
             np.log1p(len(w)),
             n / m / 10,
             len(kinds) / m,
@@ -96,27 +99,24 @@ class Logistic:
         return np.clip((x - self.mean) / self.scale @ self.w[:-1] + self.w[-1], -30, 30)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], s: Settings):
-    """The two views' classifiers, each taught by the other on the pool."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest, s: Settings):
+    """The two views' classifiers, each taught by the other.
+
+    surest(models, highs, lows): for each view the feature rows (both views') of the open documents it scores highest
+    and lowest; none of them comes again.
+    """
     own = [(v, y.astype(float)) for v in views]
-    open_ = np.ones(len(pool[0]), bool)
+    prior = max(y.mean(), 1e-3)
+    high = min(s.taken - 1, max(1, round(s.taken * prior))) if s.taken > 1 else 1
     models = [Logistic(*d) for d in own]
     for _ in range(s.rounds):
-        k = int(s.share * len(open_))
-        if not k or open_.sum() < 2 * k:
+        found = surest(models, high, max(1, s.taken - high))
+        if found is None:
             break
-        prior = max(y.mean(), 1e-3)
-        taken = []
         for view in (0, 1):
-            logit = np.where(open_, models[view].logit(pool[view]), np.nan)
-            order = np.argsort(logit)[: int(open_.sum())]
-            high, low = max(1, round(k * prior)), max(1, round(k * (1 - prior)))
-            taken.append((np.r_[order[-high:], order[:low]], np.r_[np.ones(high), np.zeros(low)]))
-        for view in (0, 1):
-            rows, labels = taken[1 - view]
-            own[view] = np.r_[own[view][0], pool[view][rows]], np.r_[own[view][1], labels]
-        for rows, _ in taken:
-            open_[rows] = False
+            (up, down) = found[1 - view]
+            rows = np.concatenate([up[view], down[view]])
+            own[view] = np.r_[own[view][0], rows], np.r_[own[view][1], np.ones(len(up[view])), np.zeros(len(down[view]))]
         models = [Logistic(*d) for d in own]
     return models
 
@@ -141,33 +141,85 @@ def _features(docs: DataFrame, keep: list[str], s: Settings) -> DataFrame:
     def run(batches):
         hasher = WordHasher()
         for b in sliced(batches, "text"):
-            text = text_view(texts_of(b.column("text")), hasher)
-            meta = meta_view(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), s.sources)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in meta])], [*keep, "f_text", "f_meta"])
+            text = text_view(texts_of(b.column("text")), hasher).astype(np.float32)
+            meta = meta_view(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), s.sources).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], [*keep, "f_text", "f_meta"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "f_text binary, f_meta binary"])
     return docs.select(*dict.fromkeys([*keep, "text", "lang", "source", "n_chars"])).mapInArrow(run, schema)
 
 
+def _matrix(rows, name: str) -> np.ndarray:
+    return np.array([np.frombuffer(r[name], np.float32) for r in rows], float)
+
+
+_TOPS = "place int, sure double, doc_id long, f_text binary, f_meta binary"
+
+
+def _surest(pool: DataFrame, models: list, high: int, low: int, out: set) -> list | None:
+    """For each view the documents of the pool that it scores highest and lowest, none twice, `out` left aside.
+
+    Each task returns at most the best `high` and `low` of its own by each view; top-k of these are what the driver gets.
+    """
+    shared, done = pool.sparkSession.sparkContext.broadcast(models), np.array(sorted(out), np.int64)  # at most 4 * rounds * taken ids
+    wanted = [high, low, high, low]
+
+    def run(batches):
+        held = [[] for _ in wanted]
+        for b in batches:
+            b = b.filter(pa.array(~np.isin(b.column("doc_id").to_numpy(), done)))
+            if not b.num_rows:
+                continue
+            for view, name in enumerate(("f_text", "f_meta")):
+                logit = shared.value[view].logit(np.frombuffer(b"".join(b.column(name).to_pylist()), np.float32).reshape(b.num_rows, -1).astype(float))
+                ids = b.column("doc_id").to_numpy()
+                for place, sure in ((2 * view, logit), (2 * view + 1, -logit)):
+                    k = np.lexsort((ids, -sure))[: wanted[place]]
+                    held[place] += [(float(sure[i]), int(ids[i]), b.column("f_text")[int(i)].as_py(), b.column("f_meta")[int(i)].as_py()) for i in k]
+                    held[place] = sorted(held[place], key=lambda r: (-r[0], *r[1:]))[: wanted[place]]
+        rows = [(place, *r) for place, best in enumerate(held) for r in best]
+        kinds = [pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _TOPS.split(", ")])
+
+    tops = Written(pool.select("doc_id", "f_text", "f_meta").mapInArrow(run, _TOPS), "surest")
+    lists, had = [], set()
+    for place, n in enumerate(wanted):
+        best = tops.df.where(F.col("place") == place).orderBy(F.desc("sure"), "doc_id", "f_text", "f_meta").limit(n).collect()  # at most s.taken
+        best = [r for r in best if r.doc_id not in had]  # what one view is surest of isn't taken twice
+        had |= {r.doc_id for r in best}
+        lists.append(best)
+    tops.drop()
+    if not had:
+        return None
+    out |= had
+    return [tuple((_matrix(rows, "f_text").reshape(len(rows), TEXT_FEATURES), _matrix(rows, "f_meta").reshape(len(rows), len(models[1].mean))) for rows in lists[2 * v : 2 * v + 2]) for v in (0, 1)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Learns from labelled rows outside the held-out fold; one in five of them only calibrates."""
+    """Learns from labelled rows outside the held-out fold; one in five of them only calibrates.
+
+    Labels other than 0 and 1 and null ids are left out; an id labelled both ways counts both ways; of documents that
+    repeat an id one counts, that with the least features. The pool is every document of the fold without a label.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     at = F.xxhash64("doc_id").alias("_at")
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y"), at)
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"), at)
     sample = known.where("y = 1").orderBy("_at", "doc_id").limit(s.labelled).unionByName(known.where("y = 0").orderBy("_at", "doc_id").limit(s.labelled)).drop("_at").distinct()
-    free = docs.where(~held_out()).select("doc_id", F.lit(-1).alias("y"), at).orderBy("_at", "doc_id").limit(s.unlabelled).drop("_at")
-    free = free.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").distinct()
-    wanted = sample.unionByName(free)  # bounded, and so is what it brings to the driver: some 700 bytes a row
-    rows = _features(docs.join(F.broadcast(wanted), "doc_id"), ["doc_id", "y"], s).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, r.f_text))
+    made = Written(_features(docs.where(~held_out() & F.col("doc_id").isNotNull()), ["doc_id"], s), "features")
+    # bounded by the sample, and so is what it brings to the driver: some kilobytes a row
+    rows = made.df.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("f_text", "f_meta")).alias("f")).select("doc_id", "y", "f.*").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y))
     y = np.array([r.y for r in rows], int)
-    views = [np.array([np.frombuffer(r[k]) for r in rows]) for k in ("f_text", "f_meta")]
     own = np.array([zlib.crc32(f"calibrate {r.doc_id}".encode()) % 5 for r in rows])
-    learn, check, pool = (y >= 0) & (own > 0), (y >= 0) & (own == 0), y < 0
+    learn, check = own > 0, own == 0
     for part in (learn, check):
         if len(set(y[part])) < 2:  # nothing to tell apart
-            labelled = y[y >= 0]
-            return Model(None, None, None, float((labelled.sum() + 1) / (len(labelled) + 2)))
-    models = co_train((views[0][learn], views[1][learn]), y[learn], (views[0][pool], views[1][pool]), s)
+            made.drop()
+            return Model(None, None, None, float((y.sum() + 1) / (len(y) + 2)))
+    views = [_matrix(rows, "f_text"), _matrix(rows, "f_meta")]
+    pool, out = made.df.join(known.select("doc_id").distinct(), "doc_id", "left_anti"), set()
+    models = co_train((views[0][learn], views[1][learn]), y[learn], lambda m, high, low: _surest(pool, m, high, low, out), s)
+    made.drop()
     logits = [m.logit(v[check]) for m, v in zip(models, views)]
     calibrated = [Logistic(x[:, None], y[check].astype(float), 0.1, balanced=False) for x in logits]
     both = np.stack([c.logit(x[:, None]) for c, x in zip(calibrated, logits)], 1)
@@ -177,8 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` with p_text, p_meta, score (that a document is good) and kept (score >= s.threshold).
 
-    Null texts are empty. Where labels have one class only, all scores are the smoothed share of it.
+    Null texts are empty; texts of any length are read whole. Where labels have one class only, or none, all scores are
+    the smoothed share of it. Each row is scored by itself: repeated rows and null ids come out as they are, an empty
+    table gives an empty one, and a kept column that has an added column's name comes out with `_input` after it.
     """
+    names = outputs(keep, ["p_text", "p_meta", "score", "kept"])
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, s))
 
     def run(batches):
@@ -186,11 +241,12 @@ def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep:
         for b in sliced(batches, "_text"):
             meta = meta_view(*(b.column(c).to_pylist() for c in ("_lang", "_source", "_n_chars")), s.sources)
             found = model.value.score(text_view(texts_of(b.column("_text")), hasher), meta)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x) for x in found), pa.array(found[2] >= s.threshold)], [*keep, "p_text", "p_meta", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(f"_k{i}") for i in range(len(keep))), *(pa.array(x) for x in found), pa.array(found[2] >= s.threshold)], [*names, "p_text", "p_meta", "score", "kept"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "p_text double, p_meta double, score double, kept boolean"])
-    return docs.select(*keep, *(F.col(c).alias(f"_{c}") for c in ("text", "lang", "source", "n_chars"))).mapInArrow(run, schema)
+    schema = f"{kept_fields(docs, keep, names)}, p_text double, p_meta double, score double, kept boolean"
+    return beside(docs, keep, _text="text", _lang="lang", _source="source", _n_chars="n_chars").mapInArrow(run, schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, each view's and the combined probability, and kept of every document: see `quality`."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", held_out().alias("held_out"), "p_text", "p_meta", "score", "kept")
