@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 from .words import NOT_WORD, U64, WordHasher, rolled, sliced, texts_of, window_starts
 
 
@@ -132,15 +132,20 @@ def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, floa
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, score, seeds (places that seeded), start and end (words) of every passage that scores s.threshold or more.
 
-    One row per document row and item with the best passage. Null and empty texts, and items with fewer than s.n words,
-    match nothing; repeated item ids count as separate items.
+    One row per document row and item with the best passage: of equal ones the first; rows and ids that repeat each give
+    their own. A null doc_id takes part. Null and empty texts, and items with fewer than s.n words, match nothing;
+    repeated item ids count as separate items. Texts of any length are read whole: an alignment takes the regions around
+    the seeds, a row of the item's length at a time. Either table may be empty. Other columns are not read.
     """
     items = _items(benchmark)
     return _by_broadcast(docs, items, s) if _small(items, s) else _by_shuffle(docs, items, s).drop("digest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], s: Settings = Settings()) -> DataFrame:
-    """Columns `keep`, the text among them, of the documents without any such passage. Beyond the broadcast's bound rows go by their text's SHA-256."""
+    """Columns `keep`, the text among them, of the documents without any such passage. Beyond the broadcast's bound rows go by their text's SHA-256.
+
+    What decides is a row's text alone: null ids, repeated ids and rows are treated alike both ways. Null texts stay.
+    """
     items = _items(benchmark)
     if _small(items, s):
         return _by_broadcast(docs, items, s, keep)
@@ -213,8 +218,9 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
         return run
 
-    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    i = items.select(F.monotonically_increasing_id().alias("_item"), "item_id", "text")
+    # ids are written before anything reads them: several branches, and tasks that run again, must see the same ones
+    d = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
+    i = written(items.select(F.monotonically_increasing_id().alias("_item"), "item_id", "text"), "items")
     item_words = i.select("_item", "text").mapInArrow(grams("_item", 1), "_item long, h long, at long")
     doc_words = d.select("_row", "text").mapInArrow(grams("_row", 1), "_row long, h long, at long").groupBy("h").agg(F.count("*").alias("n"))
     total = word_shares(docs, np.empty(0, U64))[1]
@@ -252,4 +258,5 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every passage of the documents that holds a benchmark item, edited or not: see `contaminated`."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

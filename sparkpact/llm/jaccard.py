@@ -545,6 +545,7 @@ def representatives(docs: DataFrame, keep: tuple[str, ...], s: Settings = Settin
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document: see `grouped`."""
     return grouped(table(spark, sf_dir, "documents"))
 
 

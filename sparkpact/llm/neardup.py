@@ -247,6 +247,7 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def op4_embedding_neardup(spark, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector: see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

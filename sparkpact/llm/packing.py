@@ -328,6 +328,7 @@ def packed(docs: DataFrame, path: str, size: int = SIZE, end: int = END, block:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document, by sequence: see `packed`."""
     import public_tokenizers
 
     return packed(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))

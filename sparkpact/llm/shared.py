@@ -3,35 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sparkpact-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..functions.lineage import cut, shared_dir, shared_path  # noqa: F401
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -81,6 +57,27 @@ def tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def outputs(keep, added: list[str]) -> list[str]:
+    """The names under which kept columns come out: one that an added column takes gets `_input` after it."""
+    taken, out = {a.lower() for a in added}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_input"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_fields(docs: DataFrame, keep, names: list[str]) -> str:
+    """The schema text of kept columns under their new names."""
+    return ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))
+
+
+def beside(docs: DataFrame, keep, **more: str) -> DataFrame:
+    """Columns `keep` by position (`_k0`, ...) and columns of docs under other names: nothing can clash."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), *(F.col(f"`{c}`").alias(n) for n, c in more.items()))
+
+
 def held_out(doc_id: str = "doc_id"):
     """The fold that no classifier learns from: crc32 of the id as text leaves 1 when divided by 3. A null id is in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))

@@ -347,6 +347,7 @@ def _rewritten(docs: DataFrame, gone: DataFrame, groups: int, s: Settings, text:
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document: see `deduplicated`."""
     return deduplicated(table(spark, sf_dir, "documents"))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import beside, held_out, kept_fields, outputs, table
 from .words import NOT_WORD, U64, WordHasher, mix, sliced, texts_of
 
 
@@ -72,7 +72,11 @@ def train(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, float]:
-    """Learns from the labelled rows outside the held-out fold, at most s.max_rows of each class, picked by a hash of the id."""
+    """Learns from the labelled rows outside the held-out fold, at most s.max_rows of each class, picked by a hash of the id.
+
+    Labels other than 0 and 1, null ids and labelled ids without a document are left out; an id labelled both ways counts
+    both ways. Of documents that repeat an id the one with the least features counts.
+    """
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_at")
     )
@@ -98,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
         idx, w, bias = train([(np.frombuffer(f, np.uint32).astype(np.int64), y) for _, f, y in got], s)
         yield pa.RecordBatch.from_arrays([pa.array([idx.astype(np.int64).tobytes()]), pa.array([w.astype(np.float64).tobytes()]), pa.array([float(bias)])], ["idx", "w", "bias"])
 
-    # one task, on at most 2 * max_rows rows of features
-    model = rows.mapInArrow(features, "doc_id long, toxic int, f binary").repartition(1)
+    # one task, on at most 2 * max_rows rows of features: of rows that repeat a doc_id one counts
+    model = rows.mapInArrow(features, "doc_id long, toxic int, f binary").groupBy("doc_id", "toxic").agg(F.min("f").alias("f")).repartition(1)
     got = model.mapInArrow(learn, "idx binary, w binary, bias double").first()
     if got is None:
         return train([], s)
@@ -109,13 +113,15 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
 def score(docs: DataFrame, model, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of docs with `score` (0 to 1) and `predicted` (score >= s.threshold).
 
-    A null or empty text has no features: its score is that of the bias. Each distinct feature of a text counts once.
+    A null or empty text has no features: its score is that of the bias. Each distinct feature of a text counts once,
+    however long the text. Each row is scored by itself: repeated rows and ids score alike, an empty table gives an
+    empty one. A kept column called score or predicted comes out with `_input` after its name.
     """
     idx, w, bias = model
     sparse = docs.sparkSession.sparkContext.broadcast((idx, w))  # at most 2 ** s.bits weights
     hasher = WordHasher(NOT_WORD, fold=True)
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double", "predicted int"])
+    names = outputs(keep, ["score", "predicted"])
+    schema = f"{kept_fields(docs, keep, names)}, score double, predicted int"
 
     def run(batches):
         weights = np.zeros(1 << s.bits)
@@ -126,15 +132,16 @@ def score(docs: DataFrame, model, s: Settings = Settings(), keep: tuple[str, ...
             key = np.unique(doc[hit].astype(np.int64) << 32 | f[hit])
             total = np.bincount(key >> 32, weights[key & 0xFFFFFFFF], b.num_rows) + bias
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(f"_k{i}") for i in range(len(keep))), pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return beside(docs, keep, _text="text").mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Trains on labels and scores every row of docs."""
+    """Trains on labels and scores every row of docs; see `fit` and `score` for what odd rows give."""
     return score(docs, fit(docs, labels, s), s, keep)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; held_out marks the fold nothing is learnt from."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", held_out().alias("held_out"), "score", "predicted")

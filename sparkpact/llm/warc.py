@@ -182,6 +182,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page through an archive and back: see `deduplicated`, `write` and `read`."""
     folder = shared_path(spark, "warc")
     manifest = write(deduplicated(table(spark, sf_dir, "pages")), folder)
     return read(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -11,9 +11,8 @@ from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import beside, kept_fields, outputs, table
 from .words import texts_of
 
 #: The vocabulary file, by its name in the folder of public tokenizers.
@@ -74,7 +73,9 @@ class Automaton:
 
 
 class Counts(dict):
-    """Piece counts of words, each preceded by `prefix`; forgets all beyond `most` words."""
+    """Piece counts of words, each preceded by `prefix`; forgets all beyond `most` words and keeps none of more than LONG bytes."""
+
+    LONG = 64
 
     def __init__(self, automaton: Automaton, prefix: bytes, most: int = 400_000):
         self.automaton, self.prefix, self.most = automaton, prefix, most
@@ -82,7 +83,9 @@ class Counts(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        n = self[word] = self.automaton.count(self.prefix + word)
+        n = self.automaton.count(self.prefix + word)
+        if len(word) <= self.LONG:
+            self[word] = n
         return n
 
 
@@ -98,9 +101,12 @@ def token_counts(docs: DataFrame, path: str, prefix: bytes = b" ", keep: tuple[s
     """Columns `keep` with `n_words` and `n_tokens` of each whole text.
 
     Words are runs without space and \\x09-\\x0D; each is matched with `prefix` before it, as the vocabulary's pieces
-    that begin words carry it. Null and empty texts have no words and no tokens. `path` must be readable on every
-    executor, like any installed package's file.
+    that begin words carry it. Null and empty texts have no words and no tokens; texts and words of any length are
+    matched whole. Each row stands for itself: repeated rows and null ids come out as they are, an empty table gives an
+    empty one, and a kept column called n_words or n_tokens comes out with `_input` after its name. `path` must be
+    readable on every executor, like any installed package's file.
     """
+    names = outputs(keep, ["n_words", "n_tokens"])
 
     def run(batches):
         counts = _loaded.get((path, prefix))  # a reused worker builds the automaton once
@@ -110,14 +116,14 @@ def token_counts(docs: DataFrame, path: str, prefix: bytes = b" ", keep: tuple[s
         for b in batches:
             words = [(t or b"").split() for t in texts_of(b.column("_text"))]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(of, w)) for w in words], pa.int64())], [*keep, "n_words", "n_tokens"]
+                [*(b.column(f"_k{i}") for i in range(len(keep))), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(of, w)) for w in words], pa.int64())], [*names, "n_words", "n_tokens"]
             )
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long", "n_tokens long"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return beside(docs, keep, _text="text").mapInArrow(run, f"{kept_fields(docs, keep, names)}, n_words long, n_tokens long")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words and n_tokens of every document: see `token_counts`."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path(VOCABULARY)))
