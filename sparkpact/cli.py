@@ -12,10 +12,11 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import engine
+from .functions.lineage import cut
 from .operators import coverage as cov
 from .sources import files
 
@@ -47,13 +48,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def measure(spark: SparkSession, contract, docs: list, options: engine.Options) -> dict:
-    """A coverage report of instances: by the typed hits of their JSON, read with the contract's own shape."""
+def show(rows: DataFrame, form: str, out) -> None:
+    """Prints the documents in order; the driver holds one partition at a time."""
+    first = True
+    if form == "json":
+        print("[", end="", file=out)
+    for r in rows.select("instance_id", "doc").orderBy("instance_id").toLocalIterator():
+        print(("" if first else ", ") + json.dumps(json.loads(r.doc)) if form == "json" else json.dumps(json.loads(r.doc)), end="" if form == "json" else "\n", file=out)
+        first = False
+    if form == "json":
+        print("]", file=out)
+
+
+def measure(spark: SparkSession, contract, rows: DataFrame, options: engine.Options) -> dict:
+    """A coverage report of instances (doc): by the typed hits of their JSON, read with the contract's own shape."""
     from .plans.normalize import normalize
 
-    rows = spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string")
     # the first instance has the generated shape, which format strings alone vary
-    shape = spark.range(1).select(F.schema_of_json(F.lit(json.dumps(docs[0])))).first()[0] if docs and isinstance(docs[0], dict) and docs[0] else None
+    some = rows.head(1)
+    head = json.loads(some[0].doc) if some else None
+    shape = spark.range(1).select(F.schema_of_json(F.lit(json.dumps(head)))).first()[0] if isinstance(head, dict) and head else None
     t = engine.contract_targets(spark, contract, options)
     if shape:
         typed = rows.select(F.from_json("doc", shape).alias("d")).select("d.*")
@@ -88,11 +102,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     options = engine.Options(instances=max(1, count), seed=args.seed, conditionals=args.rewrite_conditionals, threshold=args.min_coverage if args.min_coverage is not None else 0.0)
     stages = {"generate": lambda: engine.generate_guided(spark, contract, options)} if args.coverage == "guided" and engine.guided_units(contract, options) else None
     result = engine.run(spark, contract, options, stages)
-    docs = [json.loads(r.doc) for r in result.repaired.select("instance_id", "doc").orderBy("instance_id").collect()]  # what is printed
-    print(json.dumps(docs) if args.out == "json" else "\n".join(json.dumps(d) for d in docs), file=out)
-    code = 0 if all(r.valid for r in result.validated.select("valid").collect()) else engine.EXIT_CODES["invalid"]
+    rows = cut(result.validated.select("instance_id", "valid").join(result.repaired.select("instance_id", "doc"), "instance_id"))  # one run serves all that follows
+    show(rows, args.out, out)
+    code = engine.EXIT_CODES["invalid"] if rows.where("not valid").head(1) else 0
     if args.coverage != "off":
-        report = measure(spark, contract, docs, options)
+        report = measure(spark, contract, rows.select("doc"), options)
         if args.report:
             files.write_report(spark, report, args.report)
         print(json.dumps({k: report[k] for k in ("overall", "status", "byDimension")}), file=sys.stderr)

@@ -19,6 +19,17 @@ EXIT_CODES = {"ok": 0, "invalid": 1, "minCoverageNotMet": 70}
 PROFILES = {"quick": 75, "balanced": 350, "thorough": 1000}
 
 
+def with_profile(options: dict, profile: str | None) -> dict:
+    """Command-line options under a validity profile: strict turns `gvalid` on, relaxed also structural repair; given flags win."""
+    out = dict(options)
+    if profile in ("strict", "relaxed"):
+        if not isinstance(out.get("gvalid"), bool):
+            out["gvalid"] = True
+        if profile == "relaxed" and out.get("gvalid_relax_repair") is None:
+            out["gvalid_relax_repair"] = True
+    return out
+
+
 @dataclass(frozen=True)
 class Options:
     """The knobs of a run, with their defaults."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import math
+import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +74,22 @@ class XorShift32:
         return self.next() / 2**32
 
 
+def format_value(kind: str, index: int, seed: int) -> str:
+    """The value of a format's index-th use, as `format_col` gives it."""
+    draw = XorShift32(seed, f"format:{kind}:{index}")
+    if kind in ("email", "uri"):
+        n, digits = draw.next(), ""
+        while n:
+            n, d = divmod(n, 36)
+            digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
+        return f"user.{digits.zfill(6)}@example.test" if kind == "email" else f"https://example.test/resource/{digits.zfill(6)}"
+    if kind == "uuid":
+        raw = bytearray(b"".join(draw.next().to_bytes(4, "little") for _ in range(4)))
+        return str(uuid.UUID(bytes=bytes(raw), version=4))
+    day, second = draw.next() % 365, draw.next() % 86400
+    return (datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day, seconds=second)).isoformat() + ".000Z"
+
+
 def escape_pointer(token: str) -> str:
     return token.replace("~", "~0").replace("/", "~1")
 

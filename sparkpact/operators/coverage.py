@@ -278,3 +278,45 @@ def reachability(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def reused(reach: DataFrame) -> DataFrame:
     """Nodes that more than one operation reaches."""
     return reach.groupBy("node").agg(F.count_distinct("operation").alias("operations")).where("operations > 1")
+
+
+def attach_operations(t: DataFrame, reach: DataFrame) -> DataFrame:
+    """Targets with `op_keys`, the sorted operations that reach their place; null where none does. reach: operation, node."""
+    by_place = reach.groupBy(F.col("node").alias("canon_path")).agg(F.sort_array(F.collect_set("operation")).alias("op_keys"))
+    return t.join(by_place, "canon_path", "left")
+
+
+def reused_targets(reach: DataFrame) -> DataFrame:
+    """A deprecated diagnostic target for each place that more than one operation reaches, with its operations."""
+    shared = reach.groupBy(F.col("node").alias("canon_path")).agg(F.sort_array(F.collect_set("operation")).alias("op_keys")).where(F.size("op_keys") > 1)
+    body = F.concat(F.lit('{"canonPath":'), F.to_json(F.struct(F.col("canon_path").alias("p"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("canon_path").alias("p")))) - 6), F.lit(f',"dimension":"operations","engineMajor":{ENGINE_MAJOR},"kind":"SCHEMA_REUSED_COVERED","operationKey":null,"params":null,"reportMajor":{REPORT_MAJOR},"v":1}}'))
+    identity = F.concat(F.lit(f"cov:{ENGINE_MAJOR}:{REPORT_MAJOR}:"), F.sha2(body, 256))
+    return shared.select(identity.alias("id"), F.lit("operations").alias("dimension"), F.lit("SCHEMA_REUSED_COVERED").alias("kind"), "canon_path", F.lit("deprecated").alias("status"), "op_keys")
+
+
+def target_key(prefix: str = "") -> Column:
+    """What makes two reports' targets the same in shape."""
+    c = lambda name: F.col(prefix + name)
+    return F.concat_ws("|", c("id"), c("dimension"), c("kind"), c("canon_path"), F.coalesce(c("op_key"), F.lit("")))
+
+
+def common_dimensions(a: Column, b: Column) -> Column:
+    """The dimensions of both lists, in the first one's order."""
+    return F.array_intersect(a, b)
+
+
+def summary_line(t: DataFrame, caps: int = 0, unsatisfied: int = 0, **options) -> DataFrame:
+    """One row, `line`: ratios by dimension and operation, the overall one, targets by status, caps and hints."""
+    three = lambda c: F.format_string("%.3f", c)
+    d = by_dimension(t, **options).agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("dimension", "ratio"))), lambda x: F.concat(x["dimension"], F.lit("="), three(x["ratio"])))).alias("d"))
+    o = overall(t, **options).select(three(F.col("ratio")).alias("o"))
+    s = t.groupBy("status").agg(F.count("*").alias("n")).agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(x["status"], F.lit("="), x["n"].cast("string")))).alias("s"))
+    parts = [d.select(F.lit(1).alias("k"), "d"), o.select(F.lit(1).alias("k"), "o"), s.select(F.lit(1).alias("k"), "s")]  # a row each
+    whole = parts[0].join(parts[1], "k").join(parts[2], "k")
+    if "op_keys" in t.columns:
+        ops = by_operation(t, **options).agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("ratio", "operation"))), lambda x: F.concat(x["operation"], F.lit("="), three(x["ratio"])))).alias("p"))
+        whole = whole.join(ops.select(F.lit(1).alias("k"), "p"), "k")
+    else:
+        whole = whole.withColumn("p", F.lit(""))
+    line = [F.when(F.col("d") != "", F.concat(F.lit("coverage by dimension: "), "d")), F.when(F.col("p") != "", F.concat(F.lit("coverage by operation: "), "p")), F.concat(F.lit("coverage overall: "), "o"), F.when(F.col("s") != "", F.concat(F.lit("targets by status: "), "s")), F.lit(f"planner caps: {caps}, unsatisfied hints: {unsatisfied}")]
+    return whole.select(F.concat_ws(" | ", *line).alias("line"))

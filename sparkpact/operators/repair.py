@@ -233,6 +233,17 @@ def repair(df: DataFrame, schema: dict, attempts: int = 1, max_tier: int = 2, wi
     return out.withColumns(back | {"reverted": worse}).drop("_original")
 
 
+def nudge_detail(whole: bool, up: bool, digits: int = 12) -> dict:
+    """What an audit row says of a nudge: by one, or by an epsilon of 1 to 12 digits."""
+    return {"delta": 1 if up else -1} if whole else {"epsilon": f"1e-{digits}"}
+
+
+def budget_exhausted(repaired_: DataFrame, attempts: int) -> DataFrame:
+    """A diagnostic for each row that is still invalid though every pass was used: the row's columns with code, phase, cycles, last_errors."""
+    left = repaired_.where((F.col("score_before") > 0) & (F.col("score_after") > 0))
+    return left.withColumns({"code": F.lit("UNSAT_BUDGET_EXHAUSTED"), "phase": F.lit("repair"), "cycles": F.lit(max(1, min(5, attempts))), "last_errors": F.col("score_after")})
+
+
 def usage(repaired: DataFrame, motif: Column) -> DataFrame:
     """Items, items with a repair, and actions by motif."""
     n = F.size("actions").cast("long")

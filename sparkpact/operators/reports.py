@@ -54,10 +54,26 @@ def failure_categories(runs: DataFrame) -> DataFrame:
     return runs.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
 
-def percentiles(timings: DataFrame) -> DataFrame:
-    """Nearest-rank p50 and p95 and the maximum by profile."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)")
-    return timings.groupBy("profile").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.max("ms").alias("top"))
+def percentiles(timings: DataFrame, ranks: tuple[tuple[str, float], ...] = (("p50", 0.5), ("p95", 0.95))) -> DataFrame:
+    """Nearest-rank p50 and p95 and the maximum by profile.
+
+    Equal values are counted first; then a few thousand ranges of values a profile are summed to find which one holds a
+    rank, and only that range's values are put in order. No task holds a profile's values. Nulls are left out.
+    """
+    times = timings.where("ms is not null").groupBy("profile", "ms").agg(F.count("*").alias("n"))
+    # ranges that grow with the value: sixteen to each doubling, on either side of zero
+    size = F.log2(F.abs(F.col("ms").cast("double")) + 1) * 16
+    times = times.withColumn("part", (F.signum(F.col("ms").cast("double")) * F.ceil(size)).cast("long"))
+    parts = times.groupBy("profile", "part").agg(F.sum("n").alias("n"), F.max("ms").alias("top"))
+    w = Window.partitionBy("profile").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("profile")
+    ends = parts.select("profile", "part", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(w).alias("upto"), F.sum("n").over(whole).alias("total"), F.max("top").over(whole).alias("top"))
+    rank = lambda q: F.greatest(F.ceil(F.col("total") * q), F.lit(1))
+    wanted = ends.withColumn("q", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), rank(q).alias("rank")) for k, q in ranks])))
+    wanted = wanted.where((F.col("q.rank") > F.col("before")) & (F.col("q.rank") <= F.col("upto"))).select("profile", "part", "before", "top", "q.name", "q.rank")
+    order = Window.partitionBy("profile", "name").orderBy("ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = times.join(wanted, ["profile", "part"]).withColumn("at", F.col("before") + F.sum("n").over(order)).where(F.col("at") >= F.col("rank"))
+    return found.groupBy("profile").agg(*[F.min(F.when(F.col("name") == k, F.col("ms"))).alias(k) for k, _ in ranks], F.max("top").alias("top"))
 
 
 def gate(summary: DataFrame, most: float) -> DataFrame:
@@ -74,8 +90,7 @@ def summary_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def outcomes(repaired: DataFrame) -> DataFrame:
-    o = F.when(F.col("score_before") == 0, "valid").when(F.col("score_after") == 0, "repaired").otherwise("invalid")
-    return repaired.groupBy(o.alias("outcome")).agg(F.count("*").alias("n"))
+    return repaired.groupBy(outcome().alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def operator_levels(runs: DataFrame, slow: float, too_slow: float) -> DataFrame:
@@ -89,6 +104,56 @@ def top_codes(diagnostics: DataFrame, most: int = 5) -> DataFrame:
     return diagnostics.groupBy("schema_id", "code").agg(F.count("*").alias("n")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
+def caps(diagnostics: DataFrame, group: str) -> DataFrame:
+    """How often each of the three limits was hit, by group."""
+    of = {"regex_capped": "REGEX_COMPLEXITY_CAPPED", "name_automaton_capped": "NAME_AUTOMATON_COMPLEXITY_CAPPED", "smt_timeouts": "SOLVER_TIMEOUT"}
+    return diagnostics.groupBy(group).agg(*[F.count_if(F.col("code") == code).alias(name) for name, code in of.items()])
+
+
+#: Diagnostic counts of a run's summary.
+COUNTED = ("compose_fatal", "compose_warn", "compose_run_level", "validate_errors")
+
+
+def totals(summaries: DataFrame) -> DataFrame:
+    """A bench's totals over its runs' summaries (instances, invalid and COUNTED)."""
+    return summaries.agg(F.count("*").alias("schemas"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("instances", *COUNTED, "invalid")])
+
+
+def actions_by_instance(actions: DataFrame) -> DataFrame:
+    """Audit rows (instance_id, action, keyword, instance_path) as one ordered list an instance."""
+    return actions.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("instance_path", "keyword", "action"))).alias("actions"))
+
+
+def outcome() -> Column:
+    return F.when(F.col("score_before") == 0, "valid").when(F.col("score_after") == 0, "repaired").otherwise("invalid")
+
+
+def build_report(repaired: DataFrame, key: str) -> DataFrame:
+    """A report's instance rows from a repaired table: the key, outcome, number of actions, and the distinct keywords repaired, in order."""
+    return repaired.select(key, outcome().alias("outcome"), F.size("actions").cast("long").alias("n_actions"), F.array_sort(F.array_distinct(F.transform("actions", lambda a: a["keyword"]))).alias("keywords"))
+
+
+def report_summary(instances: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row: instances by outcome, actions, and diagnostics by phase and severity (kind)."""
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in COUNTED]
+    a = instances.agg(F.count("*").alias("instances"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("valid", "repaired", "invalid")], F.coalesce(F.sum("n_actions"), F.lit(0)).alias("actions"), F.lit(1).alias("_k"))
+    return a.join(diagnostics.agg(*kinds, F.lit(1).alias("_k")), "_k").drop("_k")
+
+
+def filtered(diagnostics: DataFrame, kinds: tuple[str, ...], query: str = "", path: str | None = None) -> DataFrame:
+    """Diagnostics (kind, code, canon_path, details) of some kinds, at a path if one is given, that contain a text in any case."""
+    out = diagnostics.where(F.col("kind").isin(*kinds))
+    if path:
+        out = out.where(F.col("canon_path").eqNullSafe(path))
+    words = F.lower(F.concat_ws(" ", F.coalesce("code", F.lit("")), F.coalesce("canon_path", F.lit("")), F.coalesce("details", F.lit(""))))
+    return out.where(F.contains(words, F.lit(query.strip().lower()))) if query.strip() else out
+
+
+def worst_first() -> list[Column]:
+    """The order of a bench's contracts: blocked, limited, ok, then by id."""
+    return [F.array_position(F.array(F.lit("blocked"), F.lit("limited"), F.lit("ok")), F.col("level")), F.col("schema_id")]
+
+
 def markdown(summary: dict, outcome: dict[str, int], coverage: dict[str, float] | None = None) -> str:
     """A report's summary as text."""
     lines = [f"# {summary.get('title', 'Report')}", ""]

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing as H
+from .functions import numbers as N
 from .operators import coverage as C
+from .operators import hints as HI
 from .operators import predicates as P
 from .operators import repair as R
 from .operators import reports as RP
+from .plans import motifs as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -810,3 +813,205 @@ def normalize_schema(spark, sf_dir):
 
     cases = [("items", {"definitions": {"x": True}, "items": [{"enum": [1]}], "additionalItems": False}), ("nullable", {"type": "string", "nullable": True})]
     return canonical_contracts(spark.createDataFrame([(k, json.dumps(s)) for k, s in cases], "contract_id string, text string"))
+
+
+@query(
+    "corpus_harness",
+    """SELECT * FROM (VALUES ('bounds', 0::BIGINT, 0::BIGINT, 0::BIGINT, true, NULL), ('bag', 0::BIGINT, 0::BIGINT, 0::BIGINT, true, NULL), ('broken', 0::BIGINT, 0::BIGINT, 0::BIGINT, false, 'CONTRACT_PARSE'), ('closed', 0::BIGINT, 0::BIGINT, 0::BIGINT, true, NULL),
+       ('fine', 20::BIGINT, 20::BIGINT, 0::BIGINT, false, NULL), ('mail', 20::BIGINT, 20::BIGINT, 0::BIGINT, false, NULL), ('names', 0::BIGINT, 0::BIGINT, 0::BIGINT, true, NULL)) t(contract_id, instances, valid, invalid, unsat, failed)""",
+)
+def corpus_harness(spark, sf_dir):
+    """Contracts generated, repaired and validated in parallel."""
+    import json
+
+    from .plans.corpus import run_corpus
+
+    texts = [*((k, json.dumps(c)) for k, c in CORPUS), ("mail", json.dumps(GENERATED)), ("broken", "{")]
+    return run_corpus(spark.createDataFrame(texts, "contract_id string, text string"), 20).select("contract_id", "instances", "valid", "invalid", "unsat", "failed")
+
+
+# --- motifs, hints, operations -----------------------------------------------------------------------------------
+
+MIXED = {
+    "type": "object",
+    "properties": {
+        "open": {"type": "object", "properties": {"a": {"type": "string"}}},
+        "closed": {"type": "object", "properties": {"a": {}}, "additionalProperties": False},
+        "bag": {"type": "array", "items": {"type": "integer"}, "contains": {"const": 1}},
+        "set": {"type": "array", "contains": {"const": 1}, "uniqueItems": True},
+        "pick": {"anyOf": [{"properties": {"b": {}}}, {"not": {"required": ["c"]}, "properties": {"c": {}}}], "enum": ["x", "y"]},
+        "sealed": {"unevaluatedProperties": False, "properties": {"d": {"properties": {"e": {}}}}},
+    },
+}
+
+
+@query(
+    "motif_classes",
+    """SELECT '#' || p AS canon_path, m AS motif, m IN ('simpleObjectRequired', 'arrayItemsContainsSimple') AS generates_valid FROM (VALUES
+        ('', 'simpleObjectRequired'), ('/properties/open', 'simpleObjectRequired'), ('/properties/open/properties/a', 'none'), ('/properties/closed', 'apFalseMustCover'), ('/properties/closed/properties/a', 'none'),
+        ('/properties/bag', 'arrayItemsContainsSimple'), ('/properties/bag/items', 'none'), ('/properties/bag/contains', 'none'), ('/properties/set', 'none'), ('/properties/set/contains', 'none'),
+        ('/properties/pick', 'none'), ('/properties/pick/anyOf/0', 'simpleObjectRequired'), ('/properties/pick/anyOf/0/properties/b', 'none'), ('/properties/pick/anyOf/1', 'none'), ('/properties/pick/anyOf/1/properties/c', 'none'),
+        ('/properties/sealed', 'none'), ('/properties/sealed/properties/d', 'none'), ('/properties/sealed/properties/d/properties/e', 'none')) t(p, m)""",
+)
+def motif_classes(spark, sf_dir):
+    rows = [(p, m, M.generates_valid(m)) for p, m in M.motifs(MIXED, {"#/properties/closed"}).items()]
+    return spark.createDataFrame(rows, "canon_path string, motif string, generates_valid boolean")
+
+
+_HINTS = [
+    ("ensurePropertyPresence", "#", "open", True, None, None, None, None),
+    ("ensurePropertyPresence", "#/properties/closed", "b", True, None, None, "CONFLICTING_CONSTRAINTS", "CoverageIndex forbids property 'b' under #/properties/closed (AP:false)."),
+    ("ensurePropertyPresence", "#/properties/pick/anyOf/1", "c", True, None, None, "CONFLICTING_CONSTRAINTS", "Property 'c' is forbidden by not/required at #/properties/pick/anyOf/1."),
+    ("ensurePropertyPresence", "#/properties/sealed", "d", True, None, None, "CONFLICTING_CONSTRAINTS", "Property 'd' at #/properties/sealed/properties/d is blocked by Compose diagnostics"),
+    ("preferBranch", "#/properties/pick/anyOf", None, None, 0, None, "UNREACHABLE_BRANCH", "Branch 0 at #/properties/pick/anyOf/0 is unreachable via Compose UNSAT signals."),
+    ("preferBranch", "#/properties/pick/anyOf", None, None, 1, None, None, None),
+    ("coverEnumValue", "#/properties/pick", None, None, None, 1, None, None),
+    ("coverEnumValue", "#/properties/pick", None, None, None, 2, "CONFLICTING_CONSTRAINTS", "Enum at #/properties/pick contains 2 values, index 2 is out of range."),
+    ("preferBranch", "#", None, None, None, None, None, None),
+]
+
+
+def _value(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else _text(v)
+
+
+@query("coverage_conflicts", "SELECT kind, canon_path, property_name, branch_index::INT AS branch_index, value_index::INT AS value_index, reason_code, reason_detail, kind <> 'preferBranch' OR branch_index IS NOT NULL AS well_formed FROM (VALUES " + ", ".join(f"({', '.join(_value(v) for v in (*h[:3], *h[4:]))})" for h in _HINTS) + ") t(kind, canon_path, property_name, branch_index, value_index, reason_code, reason_detail)")
+def coverage_conflicts(spark, sf_dir):
+    hints = spark.createDataFrame([h[:6] for h in _HINTS], HI.HINT)
+    nodes = HI.places(spark, MIXED, {"#/properties/closed": {"a"}})
+    found = HI.conflicts(hints, nodes, ["#/properties/sealed/properties/d", "#/properties/pick/anyOf/0"])
+    return found.withColumn("well_formed", HI.is_hint()).drop("target_id", "present")
+
+
+_PLACES = "(SELECT DISTINCT 's' || c_mktsegment AS canon_path FROM customer UNION SELECT DISTINCT 'n' || n_nationkey FROM nation UNION SELECT 'unused')"
+
+
+@query("coverage_operation_keys", f"{_REACH} SELECT p.canon_path, list_sort(list(DISTINCT operation) FILTER (WHERE operation IS NOT NULL)) AS op_keys FROM {_PLACES} p LEFT JOIN reach ON node = canon_path GROUP BY 1")
+def coverage_operation_keys(spark, sf_dir):
+    places = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), "c_mktsegment").alias("canon_path")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"))).union(spark.createDataFrame([("unused",)], "canon_path string")).distinct()
+    return C.attach_operations(places, _reach(spark, sf_dir))
+
+
+@query("schema_reused_targets", f"""{_REACH} SELECT 'cov:0:1:' || sha256('{{"canonPath":"' || node || '","dimension":"operations","engineMajor":0,"kind":"SCHEMA_REUSED_COVERED","operationKey":null,"params":null,"reportMajor":1,"v":1}}') AS id, 'operations' AS dimension, 'SCHEMA_REUSED_COVERED' AS kind, node AS canon_path, 'deprecated' AS status, list_sort(list(DISTINCT operation)) AS op_keys FROM reach GROUP BY node HAVING count(DISTINCT operation) > 1""")
+def schema_reused_targets(spark, sf_dir):
+    return C.reused_targets(_reach(spark, sf_dir))
+
+
+_RATIO_LINE = "string_agg(dimension || '=' || printf('%.3f', ratio), ', ' ORDER BY dimension)"
+
+
+@query(
+    "coverage_summary_line",
+    f"""WITH c AS (SELECT * FROM {_covered_sql()}), d AS (SELECT dimension, count(*) FILTER (WHERE hit)::DOUBLE / count(*) AS ratio FROM c GROUP BY 1),
+        o AS (SELECT operation, count(*) FILTER (WHERE hit)::DOUBLE / count(*) AS ratio FROM (SELECT unnest({_OPS}) AS operation, hit FROM c) GROUP BY 1)
+        SELECT 'coverage by dimension: ' || (SELECT {_RATIO_LINE} FROM d) || ' | coverage by operation: ' || (SELECT string_agg(operation || '=' || printf('%.3f', ratio), ', ' ORDER BY ratio, operation) FROM o)
+            || ' | coverage overall: ' || printf('%.3f', (SELECT count(*) FILTER (WHERE hit)::DOUBLE / count(*) FROM c)) || ' | targets by status: active=' || (SELECT count(*) FROM c) || ' | planner caps: 0, unsatisfied hints: 0' AS line""",
+)
+def coverage_summary_line(spark, sf_dir):
+    return C.summary_line(_with_ops(_covered(spark, sf_dir)))
+
+
+@query("coverage_target_keys", f"SELECT id || '|' || dimension || '|' || kind || '|' || canon_path || '|' AS key FROM {_targets_sql()}")
+def coverage_target_keys(spark, sf_dir):
+    return C.targets(spark, COVERED).select(C.target_key().alias("key"))
+
+
+# --- numbers -----------------------------------------------------------------------------------------------------
+
+_SCALED = "(l_extendedprice * 10.0::DOUBLE)"
+
+
+def _quantized(v: str, factor: str) -> str:
+    """Half to even at a decimal factor, with ties within 1e-12."""
+    part, low = f"({v} * {factor} - floor({v} * {factor}))", f"floor({v} * {factor})"
+    return f"(CASE WHEN {part} > 0.5::DOUBLE + 1e-12::DOUBLE THEN {low} + 1 WHEN {part} < 0.5::DOUBLE - 1e-12::DOUBLE THEN {low} WHEN {low} % 2 = 0 THEN {low} ELSE {low} + 1 END / {factor})"
+
+
+@query("num_quantize", f"SELECT l_orderkey, l_linenumber, {_quantized('l_extendedprice', '10.0::DOUBLE')} AS tenth, {_quantized('(l_quantity / 2.0::DOUBLE)', '1.0::DOUBLE')} AS half FROM lineitem")
+def num_quantize(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.quantize(F.col("l_extendedprice"), 1).alias("tenth"), N.quantize(F.col("l_quantity") / 2, 0).alias("half"))
+
+
+@query("num_multiple", f"SELECT l_orderkey, l_linenumber, abs(l_extendedprice / 0.25::DOUBLE - floor(l_extendedprice / 0.25::DOUBLE + 0.5::DOUBLE)) < 1e-12 AS plain, abs({_quantized('l_extendedprice', '1.0::DOUBLE')} / 3.0::DOUBLE - floor({_quantized('l_extendedprice', '1.0::DOUBLE')} / 3.0::DOUBLE + 0.5::DOUBLE)) < 1 AS quantized FROM lineitem")
+def num_multiple(spark, sf_dir):
+    v = F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.is_multiple(v, F.lit(0.25)).alias("plain"), N.is_multiple_quantized(v, F.lit(3.0), 0).alias("quantized"))
+
+
+@query("num_align", "SELECT c_custkey, CASE WHEN c_acctbal % 50.0::DOUBLE = 0 THEN c_acctbal ELSE c_acctbal + (50.0::DOUBLE - c_acctbal % 50.0::DOUBLE) END AS aligned, c_acctbal AS same FROM customer")
+def num_align(spark, sf_dir):
+    v = F.col("c_acctbal")
+    return table(spark, sf_dir, "customer").select("c_custkey", N.align_up(v, F.lit(50.0)).alias("aligned"), N.align_up(v, F.lit(0.0)).alias("same"))
+
+
+# --- more reports ------------------------------------------------------------------------------------------------
+
+_CODE = "CASE event_type WHEN 'click' THEN 'REGEX_COMPLEXITY_CAPPED' WHEN 'view' THEN 'SOLVER_TIMEOUT' WHEN 'refund' THEN 'NAME_AUTOMATON_COMPLEXITY_CAPPED' ELSE 'OTHER' END"
+_KIND = "CASE event_type WHEN 'click' THEN 'compose_warn' WHEN 'view' THEN 'compose_run_level' WHEN 'refund' THEN 'compose_fatal' ELSE 'validate_errors' END"
+
+
+def _diagnostics(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("schema_id"), F.expr(_CODE).alias("code"), F.expr(_KIND).alias("kind"), F.concat(F.lit("#/u/"), "user_id").alias("canon_path"), F.to_json(F.struct(F.col("event_type").alias("Type"))).alias("details"))
+
+
+@query("corpus_caps", f"SELECT user_id AS schema_id, count(*) FILTER (WHERE {_CODE} = 'REGEX_COMPLEXITY_CAPPED') AS regex_capped, count(*) FILTER (WHERE {_CODE} = 'NAME_AUTOMATON_COMPLEXITY_CAPPED') AS name_automaton_capped, count(*) FILTER (WHERE {_CODE} = 'SOLVER_TIMEOUT') AS smt_timeouts FROM events GROUP BY 1")
+def corpus_caps(spark, sf_dir):
+    return RP.caps(_diagnostics(spark, sf_dir), "schema_id")
+
+
+def _bench_runs(spark, sf_dir) -> DataFrame:
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in RP.COUNTED]
+    return _diagnostics(spark, sf_dir).groupBy("schema_id").agg(F.count("*").alias("instances"), F.count_if(F.col("code") == "OTHER").alias("invalid"), *kinds)
+
+
+@query("bench_totals", f"SELECT count(DISTINCT user_id) AS schemas, count(*) AS instances, {', '.join(f'count(*) FILTER (WHERE {_KIND} = {_text(k)}) AS {k}' for k in RP.COUNTED)}, count(*) FILTER (WHERE {_CODE} = 'OTHER') AS invalid FROM events")
+def bench_totals(spark, sf_dir):
+    return RP.totals(_bench_runs(spark, sf_dir))
+
+
+@query("bench_worst_first", "SELECT schema_id, level, row_number() OVER (ORDER BY CASE level WHEN 'blocked' THEN 1 WHEN 'limited' THEN 2 ELSE 3 END, schema_id)::BIGINT AS place FROM (SELECT user_id AS schema_id, CASE WHEN count(*) FILTER (WHERE event_type = 'refund') > 8 THEN 'blocked' WHEN count(*) FILTER (WHERE event_type = 'view') > 20 THEN 'limited' ELSE 'ok' END AS level FROM events GROUP BY 1)")
+def bench_worst_first(spark, sf_dir):
+    """Contracts, as many as the corpus has, by level and id."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("schema_id")).agg(F.count_if(F.col("event_type") == "refund").alias("f"), F.count_if(F.col("event_type") == "view").alias("v"))
+    level = F.when(F.col("f") > 8, "blocked").when(F.col("v") > 20, "limited").otherwise("ok")
+    return e.select("schema_id", level.alias("level")).withColumn("place", F.row_number().over(Window.orderBy(*RP.worst_first())).cast("long"))
+
+
+@query("diag_filter", f"SELECT event_id, {_CODE} AS code FROM events WHERE {_KIND} IN ('compose_warn', 'validate_errors') AND contains(lower({_CODE} || ' #/u/' || user_id || ' {{\"Type\":\"' || event_type || '\"}}'), 'click')")
+def diag_filter(spark, sf_dir):
+    return RP.filtered(_diagnostics(spark, sf_dir), ("compose_warn", "validate_errors"), " Click ").select("event_id", "code")
+
+
+_FIX = {"low": "l_quantity < 5", "high": "l_quantity >= 50", "rate": "l_discount > 0.08"}
+_N_FIX = " + ".join(f"({c})::INT" for c in _FIX.values())
+
+
+def _repaired_lines(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("instance_id"), "l_quantity", "l_discount")
+    return R.repair(lines, _REPAIRED)
+
+
+@query("report_build", f"SELECT l_orderkey || '-' || l_linenumber AS instance_id, CASE WHEN {_N_FIX} = 0 THEN 'valid' ELSE 'repaired' END AS outcome, ({_N_FIX})::BIGINT AS n_actions, list_concat(list_concat(CASE WHEN {_FIX['high']} THEN ['exclusiveMaximum'] ELSE [] END, CASE WHEN {_FIX['rate']} THEN ['maximum'] ELSE [] END), CASE WHEN {_FIX['low']} THEN ['minimum'] ELSE [] END) AS keywords FROM lineitem")
+def report_build(spark, sf_dir):
+    return RP.build_report(_repaired_lines(spark, sf_dir), "instance_id")
+
+
+@query("report_summary", f"SELECT * FROM (SELECT count(*) AS instances, count(*) FILTER (WHERE {_N_FIX} = 0) AS valid, count(*) FILTER (WHERE {_N_FIX} > 0) AS repaired, 0::BIGINT AS invalid, sum({_N_FIX})::BIGINT AS actions FROM lineitem), (SELECT {', '.join(f'count(*) FILTER (WHERE {_KIND} = {_text(k)}) AS {k}' for k in RP.COUNTED)} FROM events)")
+def report_summary(spark, sf_dir):
+    return RP.report_summary(RP.build_report(_repaired_lines(spark, sf_dir), "instance_id"), _diagnostics(spark, sf_dir))
+
+
+@query("report_actions", f"SELECT l_orderkey || '-' || l_linenumber AS instance_id, sum({_N_FIX})::BIGINT AS n FROM lineitem GROUP BY 1 HAVING sum({_N_FIX}) > 0")
+def report_actions(spark, sf_dir):
+    actions = _repaired_lines(spark, sf_dir).select("instance_id", F.inline("actions"))
+    return RP.actions_by_instance(actions).select("instance_id", F.size("actions").cast("long").alias("n"))
+
+
+@query("repair_budget", "SELECT l_orderkey, l_linenumber, 'UNSAT_BUDGET_EXHAUSTED' AS code, 1::BIGINT AS last_errors FROM lineitem WHERE l_quantity < 10")
+def repair_budget(spark, sf_dir):
+    """A contract that no value meets: the clamp to 10 and the one to 5 undo each other, and the row goes back."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").where("l_quantity < 10 or l_quantity > 40")
+    out = R.repair(lines, _one("l_quantity", {"minimum": 10, "not": {"maximum": 10}}), attempts=2)
+    return R.budget_exhausted(out, 2).select("l_orderkey", "l_linenumber", "code", F.col("last_errors").cast("long").alias("last_errors"))

@@ -45,12 +45,17 @@ def read_cache(spark: SparkSession, path: str, uris: list[str]) -> DataFrame:
 
 
 def write_items(df: DataFrame, path: str, form: str = "ndjson", column: str = "doc") -> None:
-    """One JSON text a line, or one array of all in order of instance_id (which gathers them: for small sets)."""
+    """One JSON text a line, or one array of all: its files, in order of their names, read as one text in order of instance_id."""
     if form == "ndjson":
         df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
     elif form == "json":
-        items = F.transform(F.sort_array(F.collect_list(F.struct("instance_id", column))), lambda x: x[column])
-        df.agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+        ends = df.agg(F.min("instance_id").alias("low"), F.max("instance_id").alias("high")).first()
+        if ends.low is None:
+            df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+            return
+        at = F.col("instance_id")
+        line = F.concat(F.when(at == ends.low, "[").otherwise(","), F.col(column), F.when(at == ends.high, "]").otherwise(""))
+        df.orderBy("instance_id").select(line.alias("value")).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"{form}: json or ndjson")
 

@@ -87,3 +87,33 @@ def test_newly_uncovered_goes_by_shape(spark):
     a = spark.createDataFrame([("1", "K", "#", "active", True), ("2", "K", "#", "active", False), ("3", "K", "#", "active", False), ("4", "K", "#", "active", True)], kind)
     b = spark.createDataFrame([("1", "K", "#", "unreachable", False), ("2", "K", "#", "active", False), ("3", "L", "#", "active", False), ("4", "K", "#", "active", True), ("5", "K", "#", "active", False)], kind)
     assert sorted(r.id for r in C.newly_uncovered(a, b).collect()) == ["1", "3", "5"]
+
+
+def test_format_values_match_their_columns(spark):
+    rows = spark.range(40).select("id", *[H.format_col(k, F.col("id"), 99).alias(k) for k in ("email", "uri", "uuid", "date-time")]).collect()
+    for r in rows:
+        assert all(r[k] == H.format_value(k, r.id, 99) for k in ("email", "uri", "uuid", "date-time"))
+
+
+def test_percentiles_by_nearest_rank(spark):
+    import math
+    import random
+
+    from sparkpact.operators.reports import percentiles
+
+    r = random.Random(3)
+    data = {k: [f(r) for _ in range(n)] for k, n, f in (("a", 1000, lambda r: r.random()), ("b", 1, lambda r: -4.5), ("c", 777, lambda r: float(r.randrange(-3, 3))), ("d", 500, lambda r: r.choice((1e-9, 1e12, -1e12, 0.0))))}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("a", None)], "profile string, ms double")
+    for row in percentiles(df).collect():
+        vs = sorted(data[row.profile])
+        assert (row.p50, row.p95, row.top) == (vs[math.ceil(0.5 * len(vs)) - 1], vs[math.ceil(0.95 * len(vs)) - 1], vs[-1])
+
+
+def test_unreachable_targets_conflict(spark):
+    from sparkpact.operators import hints as HI
+
+    h = spark.createDataFrame([("preferBranch", "#/oneOf", None, None, 0, None, "t1"), ("preferBranch", "#/oneOf", None, None, 5, None, "t2"), ("ensurePropertyPresence", "#", "a", True, None, None, "t3")], HI.HINT + ", target_id string")
+    t = spark.createDataFrame([("t1", "ONEOF_BRANCH", "branches", "unreachable", "UNSAT_X at #"), ("t2", "ONEOF_BRANCH", "branches", "active", None), ("t3", "PROPERTY_PRESENT", "structure", "unreachable", None)], "target_id string, target_kind string, dimension string, status string, reason string")
+    got = {r.target_id: (r.reason_code, r.reason_detail) for r in HI.conflicts(h, HI.places(spark, {"oneOf": [{}, {}]}), [], t).collect()}
+    assert got == {"t1": ("UNREACHABLE_BRANCH", "UNSAT_X at #"), "t2": ("CONFLICTING_CONSTRAINTS", "Branch index 5 exceeds available branches (2) at #/oneOf/5."), "t3": ("CONFLICTING_CONSTRAINTS", "Target # is unreachable")}
+    assert HI.priority_order(["enum", "branches", "structure"], ["structure", "operations", "structure"], C.PRIORITY) == ["structure", "enum", "branches"]
