@@ -135,8 +135,11 @@ def test_sources(spark, tmp_path):
     assert files.read_report(spark, str(tmp_path / "r"))["engineMajor"] == 0
     with pytest.raises(files.Incompatible):
         files.compatible({"version": 1}, {"version": 2})
-    files.write_items(generate(spark, {"const": 1}, 2), str(tmp_path / "i"), "json")
-    assert spark.read.text(str(tmp_path / "i")).first()[0] == "[1,1]"
+    for n, want in ((2, [1, 1]), (500, [1] * 500)):
+        files.write_items(generate(spark, {"const": 1}, n), str(tmp_path / "i"), "json")
+        assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "i").glob("part-*")))) == want
+    files.write_items(generate(spark, {"const": 1}, 2).where("false"), str(tmp_path / "i"), "json")
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "i").glob("part-*")))) == []
     doc = {"paths": {"/x": {"get": {"responses": {"201": {"content": {"text/plain": {"schema": {"$ref": "#/components/schemas/A"}}}}, "404": {}}}, "post": {"operationId": "make", "requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/A"}}}}}}}, "components": {"schemas": {"A": {"properties": {"b": {}}}}}}
     assert [o["key"] for o in files.operations(doc)] == ["GET /x", "make"]
     assert files.select_response(doc, "GET /x")["status"] == "201"
