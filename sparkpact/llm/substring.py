@@ -177,13 +177,42 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.made = spark, folder, 0
+        self.spark, self.folder = spark, folder
         #: Folder, manifest, entries.
         self.runs: list[tuple[str, DataFrame, int]] = []
+        #: Folders that the next saved state no longer names; how many states there have been.
+        self.stale: list[str] = []
+        self.states = 0
 
     def _new(self) -> str:
-        self.made += 1
-        return f"{self.folder}/run-{self.made:05d}"
+        return f"{self.folder}/run-{uuid.uuid4().hex}"
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str) -> tuple[FingerprintIndex, int | None]:
+        """The index that was last saved in a folder, and into how many hash ranges it deals; an empty one where there is none."""
+        index = cls(spark, folder.rstrip("/"))
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.folder)
+        system = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in system.listStatus(jpath)] if system.exists(jpath) else []
+        done = sorted(n for n in names if n.startswith("state-") and system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index.folder}/{n}/_SUCCESS")))
+        if not done:
+            return index, None
+        index.states = int(done[-1].removeprefix("state-"))
+        state = spark.read.schema("place int, run string, buckets int, bucket int, path string, n long").parquet(f"{index.folder}/{done[-1]}")
+        runs = state.groupBy("place", "run", "buckets").agg(F.sum("n").alias("n")).orderBy("place").collect()  # a row a run: few
+        index.runs = [(r.run, state.where(F.col("place") == r.place).select("bucket", "path", "n"), r.n) for r in runs if r.run]
+        return index, runs[0].buckets
+
+    def save(self, buckets: int) -> None:
+        """Writes which runs there are as one table, whose success file makes it count; then drops what no state names any more."""
+        self.states += 1
+        state = self.spark.createDataFrame([(-1, "", buckets, None, None, 0)], "place int, run string, buckets int, bucket int, path string, n long")
+        for place, (run, files, _) in enumerate(self.runs):
+            state = state.unionByName(files.select(F.lit(place).alias("place"), F.lit(run).alias("run"), F.lit(buckets).alias("buckets"), "bucket", "path", "n"))
+        state.write.mode("overwrite").parquet(f"{self.folder}/state-{self.states:08d}")
+        for old in self.stale:
+            remove(self.spark, old)
+        self.stale = []
 
     def manifest(self, runs=None) -> DataFrame:
         out = self.spark.createDataFrame([], "bucket int, path string, n long")
@@ -241,13 +270,12 @@ class FingerprintIndex:
             done = written(self.manifest(two).groupBy("bucket").applyInArrow(_merged_into(folder), PACKED), "substring-compaction")
             self.runs = self.runs[:-2]
             self._added(folder, done)
-            for old, _, _ in two:
-                remove(self.spark, old)
+            self.stale += [old for old, _, _ in two]
 
     def drop(self) -> None:
-        for folder, _, _ in self.runs:
+        for folder in [*(f for f, _, _ in self.runs), *self.stale]:
             remove(self.spark, folder)
-        self.runs = []
+        self.runs, self.stale = [], []
 
 
 def _merged_into(folder: str):
@@ -317,6 +345,24 @@ def deduplicated(docs: DataFrame, s: Settings = Settings(), text: bool = False)
     return _rewritten(docs, gone.select("bucket", "docs", "sizes", "starts"), groups, s, text)
 
 
+def extended(docs: DataFrame, folder: str, s: Settings = Settings(), buckets: int = 4096, text: bool = False) -> DataFrame:
+    """`deduplicated` of one new batch against all batches that the index in a shared folder has taken, which it then joins.
+
+    A word goes if a window that covers it also starts in an earlier batch, or earlier in this one. buckets: hash ranges
+    of a new index; an index keeps its own. A batch that fails before its state is saved has changed nothing. An empty
+    batch, null ids and texts are as in `deduplicated`.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    index, known = FingerprintIndex.opened(spark, folder)
+    buckets = known or buckets
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = _odd_prime(max(47, size // s.group_bytes))
+    gone = index.absorb(fingerprints(docs, buckets, groups, s), groups)
+    index.save(buckets)
+    return _rewritten(docs, gone.select("bucket", "docs", "sizes", "starts"), groups, s, text)
+
+
 def _rewritten(docs: DataFrame, gone: DataFrame, groups: int, s: Settings, text: bool) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
 

@@ -9,7 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from sparkpact.llm import decontam, jaccard, neardup, packing
+from sparkpact.functions.lineage import shared_path
+from sparkpact.llm import decontam, jaccard, neardup, packing, substring
 
 
 def test_embeddings_at_the_threshold(spark):
@@ -157,3 +158,27 @@ def test_word_cache_is_bounded():
         words.learn(batch)
         assert all(w in words for w in batch)
     assert len(words) + len(words.older) < 800 and sum(len(w) > 64 for w in words) == 1
+
+
+def test_substring_index_of_batches_over_calls(spark):
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(90):
+        own = [f"w{r.randrange(3000)}" for _ in range(r.randrange(10, 80))]
+        if i % 4 == 0:
+            own[5:5] = passage[r.randrange(8) :]
+        rows.append((i, " ".join(own)))
+    rows[60] = (60, rows[3][1])
+    s = substring.Settings(chunk_bytes=3000)
+    whole = {x.doc_id: tuple(x) for x in substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()}
+    folder, got = shared_path(spark, "index"), {}
+    for low in range(0, 90, 15):  # ids rise from batch to batch, so the result is that of one call
+        batch = spark.createDataFrame(rows[low : low + 15], "doc_id long, text string")
+        got |= {x.doc_id: tuple(x) for x in substring.extended(batch, folder, s, buckets=20).collect()}
+    assert got == whole and any(x[2] for x in whole.values())
+    index, buckets = substring.FingerprintIndex.opened(spark, folder)
+    assert buckets == 20 and 1 <= len(index.runs) <= 4
+    again = substring.extended(spark.createDataFrame(rows[:5] + [(None, None)], "doc_id long, text string"), folder, s).collect()
+    assert all(x.n_removed == (x.n_words if x.n_words >= 20 else 0) for x in again)
+    assert substring.extended(spark.createDataFrame([], "doc_id long, text string"), folder, s).count() == 0
