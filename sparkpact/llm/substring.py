@@ -210,6 +210,10 @@ class FingerprintIndex:
         for place, (run, files, _) in enumerate(self.runs):
             state = state.unionByName(files.select(F.lit(place).alias("place"), F.lit(run).alias("run"), F.lit(buckets).alias("buckets"), "bucket", "path", "n"))
         state.write.mode("overwrite").parquet(f"{self.folder}/state-{self.states:08d}")
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the runs that compaction has replaced."""
         for old in self.stale:
             remove(self.spark, old)
         self.stale = []
@@ -338,6 +342,7 @@ def deduplicated(docs: DataFrame, s: Settings = Settings(), text: bool = False)
         if k < len(cuts):
             batch = batch.where((F.col("doc_id") <= cuts[k]) | (F.col("doc_id").isNull() if k == 0 else F.lit(False)))
         removed.append(index.absorb(fingerprints(batch, buckets, groups, s), groups, keep=k < len(cuts)))
+        index.forget()
     index.drop()
     gone = removed[0]
     for r in removed[1:]:
