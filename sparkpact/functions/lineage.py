@@ -33,3 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small input lies in fewer partitions than there are; else as it is. For work that Python does row by row."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

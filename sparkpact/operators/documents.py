@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.hashing import at_pointer, canonical_json, unescape_pointer
+from ..functions.lineage import spread
 from ..plans.validator import Validator
 
 ERRORS = "array<struct<keyword:string,schema_path:string,instance_path:string>>"
@@ -50,7 +51,7 @@ def validate_documents(df: DataFrame, schema, keys: list[str], column: str = "do
             found = [checked(validator, text) for text in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([not f for f in found]), pa.array(found, _PA_ERRORS)], [*keys, "valid", "errors"])
 
-    return df.select(*dict.fromkeys([*keys, column])).mapInArrow(run, f"{_fields(df, keys)}, valid boolean, errors {ERRORS}")
+    return spread(df.select(*dict.fromkeys([*keys, column]))).mapInArrow(run, f"{_fields(df, keys)}, valid boolean, errors {ERRORS}")
 
 
 MINIMAL = {"string": "", "integer": 0, "number": 0, "boolean": False, "object": {}, "array": [], "null": None}
@@ -188,4 +189,4 @@ def repair_documents(df: DataFrame, schema, keys: list[str], column: str = "doc"
                 audit.append([dict(zip(("keyword", "schema_path", "instance_path"), (k, a, p))) for a, k, p in actions])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(texts, pa.string()), pa.array(valid), pa.array(audit, _PA_ERRORS)], [*keys, column, "valid", "actions"])
 
-    return df.select(*dict.fromkeys([*keys, column])).mapInArrow(run, f"{_fields(df, keys)}, {column} string, valid boolean, actions {ERRORS}")
+    return spread(df.select(*dict.fromkeys([*keys, column]))).mapInArrow(run, f"{_fields(df, keys)}, {column} string, valid boolean, actions {ERRORS}")
