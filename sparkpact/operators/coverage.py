@@ -320,3 +320,23 @@ def summary_line(t: DataFrame, caps: int = 0, unsatisfied: int = 0, **options) -
         whole = whole.withColumn("p", F.lit(""))
     line = [F.when(F.col("d") != "", F.concat(F.lit("coverage by dimension: "), "d")), F.when(F.col("p") != "", F.concat(F.lit("coverage by operation: "), "p")), F.concat(F.lit("coverage overall: "), "o"), F.when(F.col("s") != "", F.concat(F.lit("targets by status: "), "s")), F.lit(f"planner caps: {caps}, unsatisfied hints: {unsatisfied}")]
     return whole.select(F.concat_ws(" | ", *line).alias("line"))
+
+
+def diff_summary(overall_: tuple[float, float], operations: list[tuple[str, float | None, float | None]], lost: list[dict], status: list[tuple[dict, str, str]]) -> str:
+    """A diff of two reports as text: ratios, operations (of one run only: a ratio is None), newly uncovered targets, changes of status."""
+    line = lambda name, a, b: f"{name}: from={a:.3f} to={b:.3f} delta={b - a:.3f}"
+    what = lambda t: f"[{t['dimension']}]{' ' + t['op_key'] if t.get('op_key') else ''} {t['kind']} at {t['canon_path']} (id={t['id']})"
+    both = [o for o in operations if o[1] is not None and o[2] is not None]
+    only = [("only-in-baseline", [o[0] for o in operations if o[2] is None]), ("only-in-comparison", [o[0] for o in operations if o[1] is None])]
+    parts = {
+        "per-operation": [line(*o) for o in both],
+        "regressions": [line(*o) for o in both if o[2] < o[1]],
+        "improvements": [line(*o) for o in both if o[2] > o[1]],
+        "operations-changed": [f"{k}: {', '.join(v)}" for k, v in only if v],
+        "newly-uncovered-targets": [what(t) for t in lost],
+        "status-changes": [f"{what(t)}: {a} -> {b}" for t, a, b in status],
+    }
+    out = ["coverage diff:", f"  {line('overall', *overall_)}"]
+    for title, rows in parts.items():
+        out += [f"  {title}:", *(f"    {r}" for r in rows)] if rows else []
+    return "\n".join(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,6 +71,35 @@ def witness(schema):
     return json.loads(json.dumps(MINIMAL[kind if isinstance(kind, str) else kind[0]]))
 
 
+def rename_candidates(rules: dict, offending: str, parent: dict) -> list[str]:
+    """Names of a closed enumeration that an offending property may take, in order.
+
+    None for a property that others depend on or that is required; under a closed object only names that it admits.
+    """
+    names = rules.get("propertyNames")
+    options = names.get("enum", []) if isinstance(names, dict) else []
+    tied = {*rules.get("required", []), *rules.get("dependentRequired", {}), *rules.get("dependentSchemas", {}), *(n for v in rules.get("dependentRequired", {}).values() for n in v)}
+    if offending in tied:
+        return []
+    closed = rules.get("additionalProperties") is False or rules.get("unevaluatedProperties") is False
+    admitted = lambda n: n in rules.get("properties", {}) or any(re.search(p, n) for p in rules.get("patternProperties", {}))
+    return sorted(n for n in options if isinstance(n, str) and n not in parent and (not closed or admitted(n)))
+
+
+def rename_holds(validator: Validator, document, place: str, old: str, new: str) -> bool:
+    """Whether a rename brings no new failure of dependencies at or below the object, and none of oneOf at the object."""
+    draft = json.loads(json.dumps(document))
+    parent = at_pointer(draft, place)
+    if not isinstance(parent, dict) or old not in parent:
+        return False
+    parent[new] = parent.pop(old)
+    own = place.removeprefix("#")
+    before = set(validator.errors(document))
+    fresh = [e for e in validator.errors(draft) if e not in before]
+    tied = [e for e in fresh if (e.keyword.startswith("dependent") or "/dependentSchemas/" in e.schema_path) and f"{e.instance_path}/".startswith(f"{own}/")]
+    return not tied and not any(e.keyword == "oneOf" and e.instance_path == own for e in fresh)
+
+
 def _fix(validator: Validator, document, e) -> tuple[object, str] | None:
     """One error's action on a document, in place where it can be."""
     tokens = [unescape_pointer(t) for t in e.instance_path.split("/")[1:]]
@@ -95,11 +125,12 @@ def _fix(validator: Validator, document, e) -> tuple[object, str] | None:
     if k == "required":
         return put(witness(rules.get("properties", {}).get(tokens[-1], {"type": "null"}))), "addRequiredDefault"
     if k in ("additionalProperties", "unevaluatedProperties", "propertyNames"):
-        parent = at_pointer(document, "#" + e.instance_path.rsplit("/", 1)[0])
-        names = [n for n in (rules.get("propertyNames", {}).get("enum", []) if isinstance(rules.get("propertyNames"), dict) else []) if n not in parent]
-        if names:
-            parent[sorted(names)[0]] = parent.pop(tokens[-1])
-            return document, "renameProperty"
+        place = "#" + e.instance_path.rsplit("/", 1)[0]
+        parent = at_pointer(document, place)
+        for name in rename_candidates(rules, tokens[-1], parent):
+            if rename_holds(validator, document, place, tokens[-1], name):
+                parent[name] = parent.pop(tokens[-1])
+                return document, "renameProperty"
         del parent[tokens[-1]]
         return document, "removeAdditionalProperty"
     if k == "minLength":

@@ -1015,3 +1015,31 @@ def repair_budget(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").where("l_quantity < 10 or l_quantity > 40")
     out = R.repair(lines, _one("l_quantity", {"minimum": 10, "not": {"maximum": 10}}), attempts=2)
     return R.budget_exhausted(out, 2).select("l_orderkey", "l_linenumber", "code", F.col("last_errors").cast("long").alias("last_errors"))
+
+
+@query(
+    "diag_envelope",
+    f"""SELECT event_id, CASE WHEN event_type = 'click' AND value > 300 THEN 'phase' WHEN event_type = 'refund' THEN 'forbidden key' WHEN event_type = 'view' AND value > 100 THEN 'not of this phase' WHEN event_type = 'click' THEN 'context' END AS fault
+        FROM events WHERE event_type IN ('click', 'refund') OR event_type = 'view' AND value > 100""",
+)
+def diag_envelope(spark, sf_dir):
+    """Diagnostics that break the envelope's rules or come from a phase that may not raise them."""
+    from .operators.diagnostics import faults
+
+    d = _diagnostics(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), "event_id")
+    phase = F.when((F.col("event_type") == "click") & (F.col("value") > 300), "later").when((F.col("event_type") == "view") & (F.col("value") > 100), "repair").otherwise("compose")
+    details = F.when(F.col("event_type") == "refund", F.lit('{"a":[{"canonPath":"#"}]}')).otherwise(F.col("details"))
+    return faults(d.withColumns({"phase": phase, "details": details}), {"SOLVER_TIMEOUT": ("compose",)}).select("event_id", "fault")
+
+
+@query("repair_rename", "SELECT event_id, CASE WHEN event_type = 'click' THEN ['a', 'b'] WHEN event_type = 'view' THEN ['a', 'c'] ELSE ['a'] END AS names FROM events")
+def repair_rename(spark, sf_dir):
+    """Names that a closed enumeration forbids take its first free name; where a dependency would break the next one; else they go."""
+    from .operators.documents import repair_documents
+
+    e = table(spark, sf_dir, "events")
+    doc = F.when(F.col("event_type") == "click", F.lit('{"a":1,"x":2}')).when(F.col("event_type") == "view", F.lit('{"a":"tied","x":2}')).otherwise(F.lit('{"a":1,"b":2,"c":3,"x":2}'))
+    doc = F.when(F.col("event_type").isin("click", "view"), doc).otherwise(F.lit('{"a":1,"needed":2}'))
+    contract = {"propertyNames": {"enum": ["a", "b", "c"]}, "dependentSchemas": {"b": {"properties": {"a": {"type": "integer"}}}}, "dependentRequired": {"needed": ["a"]}}
+    out = repair_documents(e.select("event_id", doc.alias("doc")), contract, ["event_id"])
+    return out.select("event_id", F.sort_array(F.map_keys(F.from_json("doc", "map<string,string>"))).alias("names"))

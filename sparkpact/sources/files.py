@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import canonical_json, structural_hash
+from ..functions.hashing import canonical_json, stable_hash, structural_hash
 from ..plans.normalize import detect_dialect
 
 REPORT_VERSION = "coverage-report/v1"
@@ -134,3 +134,43 @@ def select_response(doc: dict, operation: str, status: str | None = None, conten
                 found = [media.get("example"), named.get(example, {}).get("value") if example else None, named.get("default", {}).get("value"), next((e.get("value") for e in named.values()), None), schema.get("example"), next(iter(schema.get("examples", [])), None)]
                 return {"schema": schema, "example": next((x for x in found if x is not None), None), "status": chosen, "content_type": kind, "operation": operation}
     raise KeyError(operation)
+
+
+SNAPSHOT = "uri string, text string, content_hash string, dialect string, fingerprint string, fault string"
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """A row of SNAPSHOT for each line of a JSON-lines bundle: an entry, the declared fingerprint, or why the line is none.
+
+    An entry has a uri and a body (or schema); a content hash that isn't given is the body's structural hash. Blank lines
+    are skipped. Faults are parse-error, invalid-entry and hash-failed.
+    """
+
+    def row(line: str):
+        none = (None,) * 6
+        try:
+            entry = json.loads(line)
+        except (ValueError, RecursionError):
+            return (*none[:5], "parse-error")
+        if not isinstance(entry, dict):
+            return (*none[:5], "invalid-entry")
+        if isinstance(entry.get("fingerprint"), str) and not entry.get("uri"):
+            return (*none[:4], entry["fingerprint"], None)
+        body = entry["body"] if "body" in entry else entry.get("schema")
+        if not isinstance(entry.get("uri"), str) or not entry["uri"] or body is None and "body" not in entry:
+            return (*none[:5], "invalid-entry")
+        given = {k: entry[k].strip() for k in ("contentHash", "dialect") if isinstance(entry.get(k), str) and entry[k].strip()}
+        digest = given.get("contentHash") or stable_hash(body)
+        if not digest:
+            return (entry["uri"], *none[:4], "hash-failed")
+        return (entry["uri"], canonical_json(body), digest, given.get("dialect"), None, None)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [row(line) for line in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(6)], [x.split()[0] for x in SNAPSHOT.split(", ")])
+
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\r", "")).alias("value")).where("value <> ''")
+    return lines.mapInArrow(run, SNAPSHOT)

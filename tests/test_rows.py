@@ -117,3 +117,42 @@ def test_unreachable_targets_conflict(spark):
     got = {r.target_id: (r.reason_code, r.reason_detail) for r in HI.conflicts(h, HI.places(spark, {"oneOf": [{}, {}]}), [], t).collect()}
     assert got == {"t1": ("UNREACHABLE_BRANCH", "UNSAT_X at #"), "t2": ("CONFLICTING_CONSTRAINTS", "Branch index 5 exceeds available branches (2) at #/oneOf/5."), "t3": ("CONFLICTING_CONSTRAINTS", "Target # is unreachable")}
     assert HI.priority_order(["enum", "branches", "structure"], ["structure", "operations", "structure"], C.PRIORITY) == ["structure", "enum", "branches"]
+
+
+def test_snapshot_bundle(spark, tmp_path):
+    from sparkpact.sources.files import read_snapshot
+
+    lines = ['{"fingerprint":"f1"}', "", '{"uri":"u1","body":{"b":1,"a":2.0}}', '{"uri":"u2","schema":true,"contentHash":" h ","dialect":"2020-12"}', '{"uri":"u3"}', "{", "[]", '{"uri":7,"body":1}']
+    (tmp_path / "s.ndjson").write_text("\r\n".join(lines))
+    rows = read_snapshot(spark, str(tmp_path / "s.ndjson")).collect()
+    assert [(r.uri, r.text, r.content_hash, r.dialect) for r in rows if r.uri] == [("u1", '{"a":2,"b":1}', H.structural_hash({"a": 2, "b": 1}), None), ("u2", "true", "h", "2020-12")]
+    assert [r.fingerprint for r in rows if r.fingerprint] == ["f1"] and [r.fault for r in rows if r.fault] == ["invalid-entry", "parse-error", "invalid-entry", "invalid-entry"]
+
+
+def test_external_references():
+    from sparkpact.plans.normalize import external_refs, may_skip
+
+    c = {"properties": {"a": {"$ref": "http://x/y#/b"}, "b": {"$ref": "#/properties/a"}, "c": {"const": {"$ref": "z"}}}, "allOf": [{"$ref": "other.json"}]}
+    probe, refs = external_refs(c)
+    assert refs == ["http://x/y", "other.json"] and probe["properties"] == {"a": {}, "b": {"$ref": "#/properties/a"}, "c": {"const": {"$ref": "z"}}}
+    ok = lambda s: True
+    assert may_skip(c, ["other.json"], False, ok) == (True, None)
+    assert [may_skip(*a)[1] for a in ((c, [], False, ok), ({}, ["x"], False, ok), (c, ["other.json"], True, ok), (c, [None], False, ok), (c, ["q"], False, ok), (c, ["other.json"], False, lambda s: False))] == ["no-compile-errors", "no-external-refs", "non-ref-error", "missing-ref-value", "failing-ref-mismatch", "probe-failed"]
+
+
+def test_diff_summary_as_text():
+    t = {"dimension": "enum", "kind": "ENUM_VALUE_HIT", "canon_path": "#/a", "id": "i", "op_key": "get"}
+    got = C.diff_summary((0.5, 0.75), [("get", 0.5, 0.25), ("put", None, 1.0)], [t], [(t, "active", "unreachable")]).split("\n")
+    assert got[1] == "  overall: from=0.500 to=0.750 delta=0.250" and "    get: from=0.500 to=0.250 delta=-0.250" in got
+    assert got[got.index("  operations-changed:") + 1] == "    only-in-comparison: put" and got[-1] == "    [enum] get ENUM_VALUE_HIT at #/a (id=i): active -> unreachable" and "  improvements:" not in got
+
+
+def test_faults_of_diagnostics(spark):
+    from sparkpact.operators.diagnostics import faults, require
+
+    rows = [("A", "#", "compose", '{"context":"coverage"}'), (None, "#", "compose", None), ("A", None, "compose", None), ("A", "#", "x", None), ("REGEX_COMPILE_ERROR", "#", "normalize", '{"context":"coverage"}'), ("A", "#", "repair", '{"x":{"canonPtr":1}}')]
+    d = spark.createDataFrame(rows, "code string, canon_path string, phase string, details string")
+    assert sorted(r.fault for r in faults(d).collect()) == ["canonPath", "code", "context", "forbidden key", "phase"]
+    require(d.limit(1), {"A": ("compose",)})
+    with pytest.raises(ValueError, match="not of this phase"):
+        require(d.limit(1), {"A": ("repair",)})
