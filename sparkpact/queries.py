@@ -1043,3 +1043,121 @@ def repair_rename(spark, sf_dir):
     contract = {"propertyNames": {"enum": ["a", "b", "c"]}, "dependentSchemas": {"b": {"properties": {"a": {"type": "integer"}}}}, "dependentRequired": {"needed": ["a"]}}
     out = repair_documents(e.select("event_id", doc.alias("doc")), contract, ["event_id"])
     return out.select("event_id", F.sort_array(F.map_keys(F.from_json("doc", "map<string,string>"))).alias("names"))
+
+
+# --- planning, case by case: what is expected is written out -------------------------------------------------------
+
+_DRAFT4 = "http://json-schema.org/draft-04/schema#"
+RULES = [
+    ("all_false", {"allOf": [{"minimum": 1}, False]}, "false"),
+    ("all_true", {"allOf": [True, {"minimum": 1}]}, '{"allOf":[{"minimum":1}]}'),
+    ("any_false", {"anyOf": [False, {"minimum": 1}]}, '{"anyOf":[{"minimum":1}]}'),
+    ("any_true", {"anyOf": [{"minimum": 1}, True]}, "{}"),
+    ("definitions", {"definitions": {"a": {"type": "string"}}, "$ref": "#/definitions/a"}, '{"$defs":{"a":{"type":"string"}},"$ref":"#/$defs/a"}'),
+    ("exclusive", {"$schema": _DRAFT4, "id": "http://x/a", "minimum": 1, "exclusiveMinimum": True}, f'{{"$id":"http://x/a","$schema":"{_DRAFT4}","exclusiveMinimum":1}}'),
+    ("inclusive", {"$schema": _DRAFT4, "maximum": 5, "exclusiveMaximum": False}, f'{{"$schema":"{_DRAFT4}","maximum":5}}'),
+    ("names", {"type": "object", "propertyNames": {"enum": ["a", "b"]}}, '{"additionalProperties":false,"patternProperties":{"^(?:a|b)$":true},"propertyNames":{"enum":["a","b"]},"type":"object"}'),
+    ("nullable", {"properties": {"a": {"type": "integer", "nullable": True}}}, '{"properties":{"a":{"type":["integer","null"]}}}'),
+    ("one_false", {"oneOf": [False, {"minimum": 1}]}, '{"allOf":[{"minimum":1}]}'),
+    ("one_value", {"enum": ["x"]}, '{"const":"x"}'),
+    ("tuple", {"items": [{"type": "string"}, {}], "additionalItems": {"type": "integer"}}, '{"items":{"type":"integer"},"prefixItems":[{"type":"string"},{}]}'),
+]
+
+
+def _cases(values: list[tuple], names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_text, v)) + ')' for v in values)}) t({names})"
+
+
+@query("normalize_rules", _cases([(k, want) for k, _, want in RULES], "contract_id, canonical"))
+def normalize_rules(spark, sf_dir):
+    import json
+
+    from .plans.corpus import canonical_contracts
+
+    return canonical_contracts(spark.createDataFrame([(k, json.dumps(c)) for k, c, _ in RULES], "contract_id string, text string"))
+
+
+#: Contracts with the code of planning that each must raise, and where.
+PROOFS = [
+    ("bag_bounds", {"type": "array", "contains": {"type": "integer"}, "minContains": 3, "maxContains": 2}, "UNSAT_CONTAINS_BAG", "#"),
+    ("bag_need", {"type": "array", "contains": {"const": 1}, "minContains": 3, "maxItems": 2}, "UNSAT_CONTAINS_BAG", "#"),
+    ("bag_sum", {"type": "array", "maxItems": 3, "allOf": [{"contains": {"const": 1}, "minContains": 2}, {"contains": {"const": 2}, "minContains": 2}]}, "UNSAT_CONTAINS_BAG", "#"),
+    ("bag_within", {"type": "array", "maxItems": 2, "allOf": [{"contains": {"type": "integer"}}, {"contains": {"const": 2}, "minContains": 2}]}, None, None),
+    ("both_closed", {"allOf": [{"properties": {"a": {}}, "additionalProperties": False}, {"properties": {"b": {}}, "additionalProperties": False}], "required": ["a"]}, "UNSAT_REQUIRED_AP_FALSE", "#"),
+    ("no_integer", {"type": "integer", "exclusiveMinimum": 3, "exclusiveMaximum": 4}, "UNSAT_NUMERIC_BOUNDS", "#"),
+    ("a_number", {"type": "number", "exclusiveMinimum": 3, "exclusiveMaximum": 4}, None, None),
+    ("no_pattern", {"properties": {"a": {"pattern": "("}}}, "REGEX_COMPILE_ERROR", "#/properties/a"),
+    ("overlap", {"properties": {}, "patternProperties": {"^a[bc]$": {}, "^ab$": {}}, "additionalProperties": False}, "AP_FALSE_PATTERN_OVERLAP", "#"),
+    ("apart", {"properties": {}, "patternProperties": {"^a[bc]$": {}, "^ad$": {}}, "additionalProperties": False}, None, None),
+]
+
+
+@query("compose_diagnostics", _cases([(k, code, at) for k, _, code, at in PROOFS if code], "contract_id, code, path"))
+def compose_diagnostics(spark, sf_dir):
+    """Every diagnostic of composition, not proofs alone."""
+    import json
+
+    from .plans.corpus import plan_contracts
+
+    df = spark.createDataFrame([(k, json.dumps(c)) for k, c, _, _ in PROOFS], "contract_id string, text string")
+    return plan_contracts(df).where("phase = 'compose'").select("contract_id", "code", "path")
+
+
+#: Contracts with the instance that generation must give.
+INSTANCES = [
+    ("align", {"type": "integer", "minimum": 4, "multipleOf": 6}, "6"),
+    ("bag", {"type": "array", "contains": {"const": 7}, "minContains": 2, "items": {"type": "integer"}}, "[7,7]"),
+    ("common_multiple", {"allOf": [{"multipleOf": 4}, {"multipleOf": 6}], "type": "integer", "minimum": 1}, "12"),
+    ("const", {"const": {"k": [1]}}, '{"k":[1]}'),
+    ("dependent", {"type": "object", "required": ["a"], "properties": {"a": {"type": "boolean"}, "b": {"type": "string"}}, "dependentRequired": {"a": ["b"]}}, '{"a":false,"b":""}'),
+    ("length", {"type": "string", "minLength": 3}, '"aaa"'),
+    ("merged", {"allOf": [{"minimum": 3}, {"maximum": 3}, {"type": "integer"}]}, "3"),
+    ("pattern", {"type": "string", "pattern": "^ab+c$"}, '"abc"'),
+    ("ref", {"$ref": "#/$defs/n", "$defs": {"n": {"enum": [5, 6]}}}, "5"),
+    ("then", {"type": "object", "if": {"required": ["a"]}, "then": {"required": ["b"], "properties": {"b": {"const": 2}}}, "required": ["a"], "properties": {"a": {"const": 1}}}, '{"a":1,"b":2}'),
+    ("tuple", {"type": "array", "prefixItems": [{"const": 1}, {"const": "x"}], "minItems": 2}, '[1,"x"]'),
+    ("unique", {"type": "array", "items": {"type": "integer"}, "minItems": 2, "uniqueItems": True}, "[0,1]"),
+]
+
+
+@query("generate_cases", _cases([(k, doc) for k, _, doc in INSTANCES], "contract_id, doc"))
+def generate_cases(spark, sf_dir):
+    from .operators.generate import generate
+
+    out = None
+    for k, c, _ in INSTANCES:
+        one = generate(spark, c, 1, 7).select(F.lit(k).alias("contract_id"), "doc")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_API = {
+    "paths": {
+        "/x": {"get": {"responses": {"404": {}, "201": {"content": {"text/plain": {"schema": {"const": "t"}}, "application/json": {"schema": {"const": 1}, "example": 1}}}}}},
+        "/y": {"post": {"operationId": "make", "responses": {"default": {"content": {"application/problem+json": {"schema": {"const": 2}}}}, "5XX": {"content": {"text/plain": {"schema": {"const": 3}}}}}}},
+    }
+}
+
+
+@query("openapi_operations", _cases([("GET /x", "201", '{"const":1}'), ("make", "default", '{"const":2}')], "operation, status, contract"))
+def openapi_operations(spark, sf_dir):
+    """The response that is chosen for each operation of an OpenAPI document."""
+    from .sources.files import operations, select_response
+
+    rows = []
+    for o in operations(_API):
+        found = select_response(_API, o["key"])
+        rows.append((o["key"], found["status"], H.canonical_json(found["schema"])))
+    return spark.createDataFrame(rows, "operation string, status string, contract string")
+
+
+@query("unevaluated_documents", "SELECT event_id, event_type = 'view' AND value <= 250 OR event_type = 'click' AND user_id <= 6 AS valid FROM events")
+def unevaluated_documents(spark, sf_dir):
+    """Keywords that only the text path has: references and what applicators leave unevaluated."""
+    from .operators.documents import validate_documents
+
+    docs = _event_row(table(spark, sf_dir, "events")).select("event_id", F.to_json(F.struct("*")).alias("doc"))
+    kind = lambda v, **more: {"properties": {"kind": {"const": v}, **more}, "required": ["kind"]}
+    contract = {"$defs": {"view": kind("view", x_user={"$ref": "#/$defs/n"}), "n": {"type": "integer"}}, "properties": {"event_id": True}, "anyOf": [{"$ref": "#/$defs/view"}, kind("click", amount={"$ref": "#/$defs/any"})], "unevaluatedProperties": False}
+    contract["$defs"]["any"] = {"type": "number"}
+    return validate_documents(docs, contract, ["event_id"]).select("event_id", "valid")
